@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,18 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder; a lost executor loses nothing of it."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+
+    On a cluster the package is installed, shared, or submitted with --py-files; this only adds its
+    folder to the workers' search path, so that a driver started elsewhere finds it too.
+    """
+    import importlib.util
+
+    root = str(Path(importlib.util.find_spec("siftspark").origin).parent.parent)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
