@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import minhash, mixing, packing, secrets, sharding, sketch, toxicity
+from siftspark.llm import linedups, minhash, mixing, packing, secrets, sharding, sketch, toxicity
 from siftspark.llm.frames import table
 
 
@@ -14,6 +14,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedups.repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_line_dedup": op2_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op7_secrets": op7_secrets,
