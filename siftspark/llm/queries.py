@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import linedups, minhash, mixing, packing, secrets, sharding, sketch, toxicity
+from siftspark.llm import linedups, minhash, mixing, packing, passages, secrets, sharding, sketch, toxicity
 from siftspark.llm.frames import table
 
 
@@ -26,6 +26,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -47,10 +51,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_array": op6_suffix_array,
     "op7_secrets": op7_secrets,
     "op8_sharding": op8_sharding,
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op7_secrets": secrets.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op6_suffix_array": passages.SQL, "op7_secrets": secrets.SQL}
