@@ -27,7 +27,8 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         if held and held[-1].column(key)[-1].as_py() == keys[-1]:
             held.append(batch)
             continue
-        yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+        if held or cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
         held = [batch.slice(cut)]
     if held:
         yield pa.Table.from_batches(held)
