@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspark.functions.durable import durable
 from siftspark.functions.text import positioned, terms
 from siftspark.plans.schema import CollectionSchema
 
@@ -26,12 +27,17 @@ class Index:
     terms: DataFrame
 
     def write(self, path: str) -> None:
-        """As Parquet: postings in one folder a field and sorted by term, so that a search reads few row groups."""
+        """As Parquet: postings in one folder a field and sorted by term, so that a search reads few row groups.
+
+        The documents are tokenised once: range boundaries are sampled from postings that are kept,
+        and statistics and dictionary are made of what was written.
+        """
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        by_term = self.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
+        by_term = durable(self.postings).repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
         by_term.write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        written = from_postings(self.docs, self.docs.sparkSession.read.parquet(f"{path}/postings"), self.schema)
+        written.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        written.terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
     @staticmethod
     def read(spark: SparkSession, schema: CollectionSchema, path: str) -> Index:
@@ -42,31 +48,26 @@ class Index:
 
 
 def tokens(docs: DataFrame, schema: CollectionSchema) -> DataFrame:
-    """(field, doc_id, term, pos) of every token of the searchable fields."""
+    """(field, doc_id, term, pos, len) of every token of the searchable fields; ``len`` is how many the field has."""
     parts = []
     for f in schema.searchable:
         own = F.col(f"`{f.name}`")
-        if f.multi:
-            each = docs.select("doc_id", F.explode(positioned(own)).alias("t")).select("doc_id", "t.term", "t.pos")
-        else:
-            each = docs.select("doc_id", F.posexplode(terms(own)).alias("pos", "term"))
-        parts.append(each.select(F.lit(f.name).alias("field"), "doc_id", "term", "pos").where("term <> ''"))
+        # A token that folds to nothing takes no position.
+        found = positioned(own) if f.multi else F.filter(terms(own), lambda t: t != "")
+        kept = docs.select("doc_id", found.alias("t")).select("doc_id", F.size("t").alias("len"), "t")
+        each = kept.select("doc_id", "len", F.explode("t").alias("t")).select("doc_id", "len", "t.term", "t.pos") if f.multi else kept.select("doc_id", "len", F.posexplode("t").alias("pos", "term"))
+        parts.append(each.select(F.lit(f.name).alias("field"), "doc_id", "term", "pos", "len"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def build(docs: DataFrame, schema: CollectionSchema) -> Index:
     """Index tables of live documents. ``docs`` has a distinct long ``doc_id`` and the schema's columns.
 
-    Positions are grouped once; lengths are sums over a document's own postings. Statistics and the
-    dictionary come from the postings, which are far fewer rows than the tokens.
+    One shuffle, after a partial aggregation that leaves a row for each document and term. Statistics
+    and the dictionary come from the postings, which are far fewer rows than the tokens.
     """
-    grouped = tokens(docs, schema).groupBy("doc_id", "field", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    from pyspark.sql import Window
-
-    # A window over the leading grouping keys reuses a partitioning on doc_id where there is one.
-    own = Window.partitionBy("doc_id", "field")
-    postings = grouped.withColumn("len", F.sum("tf").over(own).cast("int")).select("field", "term", "doc_id", "tf", "len", "positions")
-    return from_postings(docs, postings, schema)
+    grouped = tokens(docs, schema).groupBy("doc_id", "field", "term").agg(F.count("*").cast("int").alias("tf"), F.max("len").alias("len"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return from_postings(docs, grouped.select("field", "term", "doc_id", "tf", "len", "positions"), schema)
 
 
 def from_postings(docs: DataFrame, postings: DataFrame, schema: CollectionSchema) -> Index:
