@@ -2,9 +2,10 @@
 
 Any ``LENGTH`` words hold the same minimisers wherever they stand, so two documents that share them
 share two consecutive chunks between minimisers. Chunk pairs that occur in one text only are left
-out; what is left, with a margin for the passage's ends, makes regions. Regions that share a chunk
-pair go to one task, which sorts their suffixes: windows of ``LENGTH`` words that are equal are
-neighbours there.
+out; what is left, with a margin for the passage's ends, makes regions. A window of ``LENGTH`` words
+goes where the least of its hashed word pairs sends it, together with its neighbours of the same least
+pair; equal windows meet there, and the suffixes of these segments are sorted, so that equal windows
+are neighbours. Segments that are copies are sorted once.
 """
 
 from __future__ import annotations
@@ -18,15 +19,14 @@ from pyspark.sql import functions as F
 
 from siftspark.functions.durable import durable
 from siftspark.llm import vectext as V
-from siftspark.llm.graph import components, grouped
+from siftspark.llm.graph import grouped
 from siftspark.llm.linedups import line_hashes
 from siftspark.llm.suffixes import suffix_array
 
 LENGTH = 50
 SPREAD = 16
-#: Whole groups of regions are sorted together up to so many words; a larger group is sorted by itself.
+#: Segments of whole keys are sorted together up to so many words; a key with more is sorted by itself.
 BATCH_WORDS = 200_000
-_REGION = "rid long, x long, begin int, end int, keys array<long>"
 
 
 def minimisers(order: np.ndarray, spread: int) -> np.ndarray:
@@ -58,7 +58,7 @@ def _chunked(length: int, spread: int):
                 keys, begins, ends, sizes = [], [], [], []
                 for r in rows:
                     own = found.hashes[found.first[r] : found.first[r + 1]]
-                    at = minimisers(V.mix(own[:-1] * V._PLACES[0] + own[1:] * V._PLACES[1]), spread)
+                    at = minimisers(_pairs(own), spread)
                     b, e = at[:-2], at[2:]
                     keys.append(_runs(own, b, e))
                     begins.append(b)
@@ -94,7 +94,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _regions(length: int, spread: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "x"):
-            x, begins, ends, keys = (table.column(c).to_numpy() for c in ("x", "begin", "end", "key"))
+            x, begins, ends = (table.column(c).to_numpy() for c in ("x", "begin", "end"))
             # A passage begins and ends less than a spread and a word off its outer minimisers.
             low, high = np.maximum(begins - spread - 1, 0), np.minimum(ends + spread + 2, table.column("words").to_numpy())
             reach = np.zeros(len(x), dtype=np.int64)
@@ -105,78 +105,86 @@ def _regions(length: int, spread: int):
             new[1:] = (x[1:] != x[:-1]) | (low[1:] > reach[:-1])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(x)) - 1
-            rid = V.signed(V.mix(x[first].view(np.uint64) ^ V.mix(low[first].astype(np.uint64))))
-            made = pa.RecordBatch.from_arrays(
-                [pa.array(rid), pa.array(x[first]), pa.array(low[first].astype(np.int32)), pa.array(reach[last].astype(np.int32)), V.lists(keys, np.append(first, len(x)))],
-                ["rid", "x", "begin", "end", "keys"],
-            )
+            made = pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(low[first].astype(np.int32)), pa.array(reach[last].astype(np.int32))], ["x", "begin", "end"])
             yield made.filter(pa.array(reach[last] - low[first] >= length))
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word hashes of each wanted region; rows that share an id may differ, so hashes of texts are compared."""
-    for batch in batches:
-        wanted = batch.column("wanted").to_pylist()
-        ids = batch.column("doc_id").to_numpy()
-        for low, raw, offsets in V.slices(V.strings(batch.column("text"))):
-            found = V.words(raw, offsets)
-            whole = V.signed(line_hashes(found))
-            out: list[list] = [[], [], [], [], [], []]
-            for r in range(found.rows):
-                for w in wanted[low + r]:
-                    if w["x"] == whole[r]:
-                        own = found.hashes[found.first[r] + w["begin"] : found.first[r] + w["end"]]
-                        for column, value in zip(out, (w["root"], w["x"], ids[low + r], w["begin"], w["copied"], V.signed(own)), strict=True):
-                            column.append(value)
-            if out[0]:
-                root, x, doc, begin, copied, words = out
-                each = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(root, pa.int64()), pa.array(x, pa.int64()), pa.array(doc, pa.int64()), pa.array(begin, pa.int32()), pa.array(copied), V.lists(np.concatenate(words), each)],
-                    ["root", "x", "doc_id", "begin", "copied", "words"],
-                )
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """A hash of each two words in a row."""
+    return V.mix(words[:-1] * V._PLACES[0] + words[1:] * V._PLACES[1])
+
+
+def segments(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, begin, end) of the runs of windows that have the same least pair (the leftmost of equals)."""
+    pairs = _pairs(words)
+    windows = np.lib.stride_tricks.sliding_window_view(pairs, length - 1)
+    least = np.argmin(windows, axis=1) + np.arange(len(windows))
+    begin = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    return pairs[least[begin]], begin, np.append(begin[1:], len(windows)) + length - 1
+
 
+def _cut(length: int):
+    """The segments of each wanted region; rows that share an id may differ, so hashes of texts are compared."""
 
-def repeated_windows(words: np.ndarray, first: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(kept, gone): whether the window that begins at each word repeats in another document, and which way.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column("wanted").to_pylist()
+            ids = batch.column("doc_id").to_numpy()
+            for low, raw, offsets in V.slices(V.strings(batch.column("text"))):
+                found = V.words(raw, offsets)
+                whole = V.signed(line_hashes(found))
+                rows: list[tuple] = []
+                for r in range(found.rows):
+                    for w in wanted[low + r]:
+                        if w["x"] == whole[r]:
+                            own = found.hashes[found.first[r] + w["begin"] : found.first[r] + w["end"]]
+                            for k, b, e in zip(*segments(own, length), strict=True):
+                                rows.append((k, w["x"], ids[low + r], w["begin"] + b, own[b:e]))
+                for at in range(0, len(rows), 5000):
+                    key, x, doc, begin, words = zip(*rows[at : at + 5000], strict=True)
+                    each = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(V.signed(np.array(key, dtype=np.uint64))), pa.array(x, pa.int64()), pa.array(doc, pa.int64()), pa.array(begin, pa.int32()), V.lists(V.signed(np.concatenate(words)), each)],
+                        ["key", "x", "doc_id", "begin", "words"],
+                    )
+
+    return run
 
-    ``first`` is where each region's words begin; ``docs`` is each region's document. A window is
-    ``kept`` where its document is the least of several that have it, and ``gone`` in the others.
+
+def repeated_windows(words: np.ndarray, first: np.ndarray, lowest: np.ndarray, highest: np.ndarray, length: int) -> np.ndarray:
+    """The least document of the window that begins at each word, or the least long where one document alone has it.
+
+    ``first`` is where each segment's words begin; ``lowest`` and ``highest`` are the least and the
+    greatest document that have the segment.
     """
-    n, regions = len(words), len(docs)
-    sizes = np.diff(first)
-    region = np.repeat(np.arange(regions), sizes)
-    # Each region is followed by a symbol of its own, less than any word; the very last one is least.
-    symbols = np.unique(words, return_inverse=True)[1] + regions + 1
-    place = np.arange(n) + region
-    text = np.zeros(n + regions, dtype=np.int64)
+    n, count = len(words), len(lowest)
+    segment = np.repeat(np.arange(count), np.diff(first))
+    # Each segment is followed by a symbol of its own, less than any word; the very last one is least.
+    symbols = np.unique(words, return_inverse=True)[1] + count + 1
+    place = np.arange(n) + segment
+    text = np.zeros(n + count, dtype=np.int64)
     text[place] = symbols
-    text[first[1:] + np.arange(regions)] = np.arange(regions, 0, -1) - 1
-    sorted_ = suffix_array(text)
-    word = np.full(n + regions, -1, dtype=np.int64)
+    text[first[1:] + np.arange(count)] = np.arange(count, 0, -1) - 1
+    word = np.full(n + count, -1, dtype=np.int64)
     word[place] = np.arange(n)
-    starts = word[sorted_]
+    starts = word[suffix_array(text)]
     starts = starts[starts >= 0]
-    starts = starts[starts + length <= first[1:][region[starts]]]
-    kept, gone = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-    if len(starts) < 2:
-        return kept, gone
+    starts = starts[starts + length <= first[1:][segment[starts]]]
     same = np.ones(len(starts) - 1, dtype=bool)
     for k in range(length):
         at = np.flatnonzero(same)
         same[at] = words[starts[at] + k] == words[starts[at + 1] + k]
     cluster = np.flatnonzero(np.concatenate([[True], ~same]))
-    owner = docs[region[starts]]
-    least = np.minimum.reduceat(owner, cluster)
-    most = np.maximum.reduceat(owner, cluster)
-    width = np.diff(np.append(cluster, len(starts)))
-    several = np.repeat(least != most, width)
-    lowest = owner == np.repeat(least, width)
-    kept[starts[several & lowest]] = True
-    gone[starts[several & ~lowest]] = True
-    return kept, gone
+    low = np.minimum.reduceat(lowest[segment[starts]], cluster)
+    high = np.maximum.reduceat(highest[segment[starts]], cluster)
+    least = np.full(n, _ALONE, dtype=np.int64)
+    least[starts] = np.repeat(np.where(low == high, _ALONE, low), np.diff(np.append(cluster, len(starts))))
+    return least
+
+
+_ALONE = np.iinfo(np.int64).min
 
 
 def spans(marked: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,39 +199,71 @@ def spans(marked: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def _sorted(length: int, batch_words: int):
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        words = [np.asarray(r[5]) for r in rows]
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Runs of windows (x, doc_id, begin, end, kept); end is behind the last window's beginning."""
+        unique: dict[bytes, int] = {}
+        which = np.array([unique.setdefault(r[3], len(unique)) for r in rows])
+        docs = np.array([r[1] for r in rows], dtype=np.int64)
+        lowest, highest = np.full(len(unique), np.iinfo(np.int64).max), np.full(len(unique), _ALONE)
+        np.minimum.at(lowest, which, docs)
+        np.maximum.at(highest, which, docs)
+        words = [np.frombuffer(w, dtype=np.int64) for w in unique]
         first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        docs = np.array([r[2] for r in rows], dtype=np.int64)
-        kept, gone = repeated_windows(np.concatenate(words), first, docs, length)
-        copied = np.repeat(np.array([r[4] for r in rows]), np.diff(first))
+        if len(unique) == 1:
+            least = np.full(first[-1], lowest[0] if lowest[0] != highest[0] else _ALONE)
+            least[first[-1] - length + 1 :] = _ALONE
+        else:
+            least = repeated_windows(np.concatenate(words), first, lowest, highest, length)
         out = []
-        # Of a text that has copies all windows repeat; only which of them may go is told, window by window.
-        for mark, stays, reach in ((kept & ~copied, True, length), (gone & ~copied, False, length), (gone & copied, None, 1)):
-            region, begin, end = spans(mark, first, reach)
-            for r, b, e in zip(region.tolist(), begin.tolist(), end.tolist(), strict=True):
-                out.append((rows[r][1], rows[r][2], rows[r][3] + b, rows[r][3] + e, stays))
-        columns = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
+        for (x, doc, begin, _), u in zip(rows, which, strict=True):
+            own = least[first[u] : first[u + 1]]
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], np.where(own == _ALONE, 0, np.where(own == doc, 1, 2)), [0]])))
+            for b, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if own[b] != _ALONE:
+                    out.append((x, doc, begin + b, begin + e, bool(own[b] == doc)))
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["x", "doc_id", "begin", "end", "kept"])
+        for at in range(0, len(out), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 20_000], strict=True), kinds, strict=True)], ["x", "doc_id", "begin", "end", "kept"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, root = 0, None
+        size, key = 0, None
         for batch in batches:
             lists = batch.column("words")
             flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            columns = [batch.column(c).to_pylist() for c in ("root", "x", "doc_id", "begin", "copied")]
-            for i, (own, x, doc, begin, copied) in enumerate(zip(*columns, strict=True)):
-                if own != root and size >= batch_words:
-                    yield solve(held)
+            columns = [batch.column(c).to_pylist() for c in ("key", "x", "doc_id", "begin")]
+            for i, (own, x, doc, begin) in enumerate(zip(*columns, strict=True)):
+                if own != key and size >= batch_words:
+                    yield from solve(held)
                     held, size = [], 0
-                root = own
-                words = flat[offsets[i] : offsets[i + 1]].copy()
-                held.append((own, x, doc, begin, copied, words))
-                size += len(words)
+                key = own
+                held.append((x, doc, begin, flat[offsets[i] : offsets[i + 1]].tobytes()))
+                size += int(offsets[i + 1] - offsets[i])
         if held:
-            yield solve(held)
+            yield from solve(held)
+
+    return run
+
+
+def _spans(length: int):
+    """The spans of each text from its runs of windows; of a text that has copies every window repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for owner, words, copied, runs in zip(*(batch.column(c).to_pylist() for c in ("owner", "words", "copied", "runs")), strict=True):
+                kept, gone = np.zeros(words, dtype=bool), np.zeros(words, dtype=bool)
+                for r in runs or []:
+                    (kept if r["kept"] else gone)[r["begin"] : r["end"]] = True
+                if copied:
+                    kept = ~gone
+                    kept[words - length + 1 :] = False
+                for mark, stays in ((gone, False), (kept, True)):
+                    _, begin, end = spans(mark, np.array([0, words]), length)
+                    out += [(owner, b, e, stays) for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "begin", "end", "kept"])
 
     return run
 
@@ -250,43 +290,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = one.select("x", "words", F.explode(F.arrays_zip("keys", "begins", "ends")).alias("c")).select("x", "words", F.col("c.keys").alias("key"), F.col("c.begins").alias("begin"), F.col("c.ends").alias("end"))
     kinds = "x long, words int, key long, begin int, end int"
     shared = pairs.repartition("key").sortWithinPartitions("key", "x").mapInArrow(_shared, kinds)
-    regions = durable(shared.repartition("x").sortWithinPartitions("x", "begin").mapInArrow(_regions(length, spread), _REGION))
-    linked = regions.select("rid", F.explode("keys").alias("key"))
-    heads = linked.groupBy("key").agg(F.min("rid").alias("b"), F.max("rid").alias("top")).where("b <> top").select(F.col("key").alias("_k"), "b")
-    edges = linked.join(heads, linked["key"] == heads["_k"]).select(F.col("rid").alias("a"), "b").distinct()
-    rooted = regions.join(components(edges).withColumnRenamed("node", "rid"), "rid").select("x", "begin", "end", "root")
-    wanted = rooted.join(owners.select("x", "owner", (F.col("copies") > 1).alias("copied")), "x").groupBy(F.col("owner").alias("_o")).agg(F.collect_list(F.struct("root", "x", "begin", "end", "copied")).alias("wanted"))
-    cut = own.join(wanted, own["doc_id"] == wanted["_o"]).select("doc_id", "text", "wanted").mapInArrow(_cut, "root long, x long, doc_id long, begin int, copied boolean, words array<long>")
-    once = cut.dropDuplicates(["x", "doc_id", "begin"])
-    found = once.repartition("root").sortWithinPartitions("root", "x", "begin").mapInArrow(_sorted(length, BATCH_WORDS), "x long, doc_id long, begin int, end int, kept boolean")
-    # Copies of a text repeat it whole; the owner keeps what no lesser document has.
-    copied = owners.where("copies > 1")
-    extra = texts.join(copied.select("x", "owner"), "x").where("doc_id > owner").select("doc_id", F.lit(0).alias("begin"), F.col("words").alias("end"), F.lit(False).alias("kept"))
-    gone = found.where("kept IS NULL").groupBy("x").agg(F.collect_list(F.struct("begin", "end")).alias("gone"))
-    again = copied.join(gone, "x", "left").select("owner", "words", "gone").mapInArrow(_owned(length), "doc_id long, begin int, end int, kept boolean")
-    return found.where("kept IS NOT NULL").select("doc_id", "begin", "end", "kept").union(again).union(extra).distinct()
-
-
-def _owned(length: int):
-    """The spans of the owners of copied texts, from the runs of windows that may go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for owner, words, gone in zip(*(batch.column(c).to_pylist() for c in ("owner", "words", "gone")), strict=True):
-                marked = np.zeros(words, dtype=bool)
-                for g in gone or []:
-                    marked[g["begin"] : g["end"]] = True
-                rest = ~marked
-                rest[words - length + 1 :] = False
-                for mark, stays in ((marked, False), (rest, True)):
-                    _, begin, end = spans(mark, np.array([0, words]), length)
-                    out += [(owner, b, e, stays) for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "begin", "end", "kept"])
-
-    return run
+    regions = shared.repartition("x").sortWithinPartitions("x", "begin").mapInArrow(_regions(length, spread), "x long, begin int, end int")
+    wanted = regions.join(owners.select("x", "owner"), "x").groupBy(F.col("owner").alias("_o")).agg(F.collect_list(F.struct("x", "begin", "end")).alias("wanted"))
+    cut = own.join(wanted, own["doc_id"] == wanted["_o"]).select("doc_id", "text", "wanted").mapInArrow(_cut(length), "key long, x long, doc_id long, begin int, words array<long>")
+    found = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted(length, BATCH_WORDS), "x long, doc_id long, begin int, end int, kept boolean")
+    runs = found.groupBy("x").agg(F.collect_list(F.struct("begin", "end", "kept")).alias("runs"))
+    repeated = owners.join(runs, "x", "left").where("copies > 1 OR runs IS NOT NULL").select("owner", "words", (F.col("copies") > 1).alias("copied"), "runs")
+    spanned = repeated.mapInArrow(_spans(length), "doc_id long, begin int, end int, kept boolean")
+    # Copies of a text repeat it whole.
+    copied = owners.where("copies > 1").select("x", "owner")
+    extra = texts.join(copied, "x").where("doc_id > owner").select("doc_id", F.lit(0).alias("begin"), F.col("words").alias("end"), F.lit(False).alias("kept"))
+    return spanned.union(extra).distinct()
 
 
 SQL = r"""
