@@ -53,9 +53,12 @@ def spanning_edges(bits: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], n
 
 
 def bucket_edges(
-    batches: Iterator[pa.RecordBatch], key: str, node: str, parts: list[str], alike: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    batches: Iterator[pa.RecordBatch], key: str, node: str, parts: list[str], alike: Callable[[np.ndarray, np.ndarray], np.ndarray], near: int = _NEAR
 ) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b), a > b, that join all alike rows of equal ``key``; input sorted by ``key``."""
+    """Edges (a, b), a > b, that join all alike rows of equal ``key``; input sorted by ``key``.
+
+    In buckets of up to ``near`` rows all pairs are compared, many buckets at a time.
+    """
     for table in grouped(batches, key):
         if table.num_rows < 2:
             continue
@@ -66,14 +69,14 @@ def bucket_edges(
         sizes = np.diff(np.append(begin, len(keys)))
         size_of = np.repeat(sizes, sizes)
         a, b = [], []
-        for step in range(1, _NEAR):
-            i = np.flatnonzero((keys[step:] == keys[:-step]) & (size_of[step:] <= _NEAR))
+        for step in range(1, near):
+            i = np.flatnonzero((keys[step:] == keys[:-step]) & (size_of[step:] <= near))
             if not len(i):
                 break
             hit = i[alike(bits[i], bits[i + step])]
             a.append(nodes[hit])
             b.append(nodes[hit + step])
-        for g in np.flatnonzero(sizes > _NEAR):
+        for g in np.flatnonzero(sizes > near):
             low = begin[g]
             pairs = np.array(list(spanning_edges(bits[low : low + sizes[g]], alike)), dtype=np.int64).reshape(-1, 2) + low
             a.append(nodes[pairs[:, 0]])
