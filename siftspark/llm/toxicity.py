@@ -6,11 +6,14 @@ drift. A token is known by its word or, for words too rare to tell, by a prefix
 One scan finds every maximal scoring segment of a text in linear time. Scores of segments are
 calibrated as extreme values of clean text: a segment of score S in a text of n tokens is expected
 K n exp(-lambda S) times by chance, where lambda solves the mean of exp(lambda s) = 1 over clean
-tokens, and K is fitted to the clean documents' best segments.
+tokens, and K is fitted to the clean documents' best segments. The r best segments of a text are judged
+together by the sum of their normalised scores, for each r, so that weak segments that lie apart add up.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +32,9 @@ SHRINK = 2.0
 DRIFT = 0.25
 SIGNIFICANCE = 1e-3
 PREFIXES = (4, 5, 6)
+#: So many best segments of a text are judged together at most.
+MOST_SEGMENTS = 32
+_TAIL_END = 200
 _GRAIN = 1 / 16
 _SALTS = [np.uint64(V.mix_int(0xA5A5 + c)) for c in (0, *PREFIXES)]
 
@@ -91,6 +97,47 @@ class Model:
     def expected(self, score: np.ndarray | float, n: int) -> np.ndarray | float:
         return self.k * n * np.exp(-self.lam * score)
 
+    def combined(self, scores: list[float], n: int) -> tuple[float, int]:
+        """The p-value of a text of n tokens by its segments' scores, and how many of the best give it.
+
+        The r best have the share 1 / (r (r + 1)) of the significance; the shares add up to 1.
+        """
+        if not scores or self.lam <= 0:
+            return 1.0, 0
+        sums = np.cumsum(self.lam * np.sort(scores)[::-1][:MOST_SEGMENTS] - math.log(self.k * n))
+        return min((min(1.0, r * (r + 1) * sum_tail(r, float(t))), r) for r, t in enumerate(sums, 1))
+
+
+def sum_tail(r: int, t: float) -> float:
+    """The chance that the normalised scores of the r best segments add up to t or more (Karlin and Altschul's sum statistic)."""
+    if r == 1:
+        return float(-np.expm1(-math.exp(min(-t, 700.0))))
+    if t <= 0:
+        return 1.0
+    logs = _tail_logs(r)
+    at = min(int(t), _TAIL_END - 1)
+    return min(1.0, math.exp(logs[at] + (t - at) * (logs[at + 1] - logs[at])))
+
+
+@functools.cache
+def _tail_logs(r: int) -> np.ndarray:
+    """The logarithm of ``sum_tail`` at 0, 1, 2 and so on.
+
+    The expected numbers exp(-s) of the best segments are the first arrivals of a Poisson process: the
+    r-th is g, of a gamma distribution, and the others are uniform below it, so that the sum is
+    -r log g and r - 1 exponential variables.
+    """
+    u = np.linspace(-(_TAIL_END + 60) / r, math.log(r + 12 * math.sqrt(r) + 12), 1501)
+    density = r * u - np.exp(u) - math.lgamma(r) + math.log(u[1] - u[0])
+    rest = np.maximum(np.arange(_TAIL_END + 1)[:, None] + r * u, 0.0)
+    term, total = np.zeros_like(rest), np.zeros_like(rest)
+    with np.errstate(divide="ignore"):
+        logs = np.log(rest)
+        for j in range(1, r - 1):
+            term = term + logs - math.log(j)
+            total = np.logaddexp(total, term)
+    return np.logaddexp.reduce(density + total - rest, axis=1)
+
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, begin, end) of a text, none overlapping, in linear time.
@@ -214,10 +261,11 @@ _PASSAGE = "struct<begin:int,end:int,score:double,expected:double>"
 def toxic_documents(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", significance: float = SIGNIFICANCE, max_labelled: int = MAX_LABELLED,
 ) -> DataFrame:
-    """(doc_id, p_value, score, passages) of every row whose best segment is significant.
+    """(doc_id, p_value, score, passages) of every row whose segments are significant together.
 
-    ``passages`` lists every significant segment as word positions [begin, end), its score and its
-    expected number by chance; ``p_value`` is 1 - exp(-expected) of the best. Null and empty texts
+    ``p_value`` is that of the r best segments at the r where it is least (``Model.combined``), ``score``
+    is the best segment's. ``passages`` lists these segments, and any that is significant alone, as word
+    positions [begin, end), score and expected number by chance. Null and empty texts
     have no segments and are clean. A null id is returned as null. Repeated rows give equal rows.
     An empty table gives an empty result, and empty labels find nothing. Columns other than id, text
     and the labels' doc_id and toxic are not read. Texts are scanned whole.
@@ -230,11 +278,13 @@ def toxic_documents(
         for batch in batches:
             rows, p, best, passages = [], [], [], []
             for row, n, found in _scan(model, batch.column(1)):
-                real = [(s, b, e, float(model.expected(s, n))) for s, b, e in found]
-                real = [x for x in real if -np.expm1(-x[3]) < significance]
-                if real:
+                p_value, r = model.combined([s for s, _, _ in found], n)
+                if p_value < significance:
+                    least = sorted((s for s, _, _ in found), reverse=True)[r - 1]
+                    real = [(s, b, e, float(model.expected(s, n))) for s, b, e in found]
+                    real = [x for x in real if x[0] >= least or -np.expm1(-x[3]) < significance]
                     rows.append(row)
-                    p.append(float(-np.expm1(-min(x[3] for x in real))))
+                    p.append(p_value)
                     best.append(max(x[0] for x in real))
                     passages.append([{"begin": b, "end": e, "score": s, "expected": x} for s, b, e, x in real])
             kinds = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
@@ -247,20 +297,19 @@ def toxic_documents(
 
 
 def is_toxic(model: Model, text: Column, significance: float = SIGNIFICANCE) -> Column:
-    """Whether a text has a significant passage; false for null."""
+    """Whether a text's passages are significant together; false for null."""
 
     @F.arrow_udf("boolean")
     def flag(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts), dtype=bool)
         for row, n, found in _scan(model, texts):
-            if found:
-                out[row] = -np.expm1(-model.expected(max(s for s, _, _ in found), n)) < significance
+            out[row] = model.combined([s for s, _, _ in found], n)[0] < significance
         return pa.array(out)
 
     return flag(text)
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", significance: float = SIGNIFICANCE) -> DataFrame:
-    """The rows of ``docs`` without a significant toxic passage, with all their columns, unshuffled."""
+    """The rows of ``docs`` without significant toxic passages, with all their columns, unshuffled."""
     model = fit(docs, labels, id_col, text_col)
     return docs.where(~is_toxic(model, docs[text_col].cast("string"), significance))

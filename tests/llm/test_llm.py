@@ -322,6 +322,21 @@ def test_toxicity_on_held_out_documents(spark):
     assert {r["doc_id"] for r in toxicity.clean_documents(docs, known).collect()} == set(range(400)) - {r["doc_id"] for r in rows}
 
 
+def test_toxic_words_that_lie_apart():
+    # Ten segments of a score that is expected once in twenty such texts; before, only the best one counted.
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), 3.5, 0.005)
+    apart = [0.75] * 10
+    assert -np.expm1(-model.expected(0.75, 700)) > 0.1 and model.combined(apart, 700)[0] < toxicity.SIGNIFICANCE
+    assert model.combined(apart[:1], 700)[0] > 0.1 and model.combined([], 700) == (1.0, 0)
+
+
+def test_sum_of_segments_tail():
+    sums = np.cumsum(-np.log(np.cumsum(np.random.default_rng(0).exponential(size=(200_000, 6)), axis=1)), axis=1)
+    for r, t in itertools.product((1, 2, 3, 6), (1.0, 2.5, 5.5)):
+        assert abs(toxicity.sum_tail(r, t) - (sums[:, r - 1] >= t).mean()) < 0.004
+    assert all(0 <= toxicity.sum_tail(r, t + 7) <= toxicity.sum_tail(r, t) <= 1 for r in (1, 2, 9, 32) for t in (-50.0, 0.5, 150.0, 900.0))
+
+
 # 6
 
 def test_suffix_array():
