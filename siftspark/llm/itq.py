@@ -2,9 +2,10 @@
 
 Unit vectors are centred, projected on their principal axes and rotated so that the signs of the
 coordinates lose as little as can be; the rotation is learned over all vectors, a pass for each
-step. Codes are looked up in multi-index tables: codes within ``RADIUS`` bits are within
-``RADIUS // tables`` bits in one substring at least. What hangs together there is compared by the
-original vectors.
+step. Codes are looked up in tables, each of some of their bits, as many as make a bucket's share 1 in n. How
+many tables, how far codes of one bucket may differ there and in all bits is taken from the data: vectors are
+moved to the least cosine that counts, and ``RECALL`` of them must still meet. What hangs together is
+compared by the original vectors.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ from siftspark.llm.minhash import groups
 
 SIMILARITY = 0.95
 BITS = 64
-RADIUS = 7
-CHECK_BITS = 16
+RECALL = 0.95
+#: The share of moved vectors that the check of whole codes lets pass.
+PASSED = 0.998
+PROBES = 20_000
+MOST_TABLES = 4096
+RADII = (0, 1, 2)
 STEPS = 30
 TOLERANCE = 1e-4
 _BLOCK = 4096
@@ -106,9 +111,65 @@ def supersets(values: np.ndarray, width: int, most: int) -> Iterator[tuple[np.nd
             yield rows, values[rows] | mask
 
 
-def _tables(mean: np.ndarray, projection: np.ndarray, tables: int, radius: int):
-    cuts = [round(i * projection.shape[1] / tables) for i in range(tables + 1)]
+def table_bits(c: int, width: int, tables: int = MOST_TABLES) -> np.ndarray:
+    """The signs that each table reads: the code cut into whole substrings, then shuffled and cut again."""
+    rng = np.random.default_rng(91)
+    per = c // width
+    rounds = -(-tables // per)
+    orders = [np.arange(c), *(rng.permutation(c) for _ in range(rounds - 1))]
+    return np.concatenate([o[: per * width].reshape(per, width) for o in orders])[:tables]
 
+
+def moved(x: np.ndarray, similarity: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit vector moved to a cosine of ``similarity`` with itself: in a random direction, and towards another of the rows."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for towards in (rng.normal(size=x.shape), np.roll(x, 1, axis=0) + 1e-9 * rng.normal(size=x.shape)):
+        across = towards - (towards * x).sum(axis=1, keepdims=True) * x
+        across /= np.maximum(np.linalg.norm(across, axis=1, keepdims=True), 1e-300)
+        out.append(similarity * x + math.sqrt(max(0.0, 1 - similarity * similarity)) * across)
+    return out[0], out[1]
+
+
+def chosen(apart: np.ndarray, bits: np.ndarray, recall: float = RECALL) -> tuple[int, int, int]:
+    """(tables, radius, check bits) of the least keys a vector at which ``recall`` of each column of moved vectors is met.
+
+    ``apart`` has the bits in which the moved vectors' codes differ. Where no number of tables is enough, all are used.
+    """
+    masks = [np.uint64(sum(1 << (63 - int(i)) for i in row)) for row in bits]
+    check = int(np.ceil(np.quantile(np.bitwise_count(apart), PASSED, axis=0).max())) if len(apart) else 64
+    within = np.bitwise_count(apart) <= check
+    best = (math.inf, len(masks), max(RADII))
+    for radius in RADII:
+        keys = sum(math.comb(bits.shape[1], k) / 2**k for k in range(radius + 1))
+        met = np.zeros(apart.shape, dtype=bool)
+        for t, mask in enumerate(masks, 1):
+            if t * keys >= best[0]:
+                break
+            met |= np.bitwise_count(apart & mask) <= radius
+            if (met & within).mean(axis=0).min() >= recall:
+                best = (t * keys, t, radius)
+                break
+    return best[1], best[2], check
+
+
+def measured(rows: DataFrame, n: int, mean: np.ndarray, projection: np.ndarray, similarity: float) -> np.ndarray:
+    """The differing bits of the codes of about ``PROBES`` vectors and their moved ones, a column for each way to move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0)).astype(np.float64)
+                code = codes(x, mean, projection)
+                a, b = (V.signed(code ^ codes(y, mean, projection)) for y in moved(x, similarity, batch.num_rows))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    probes = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // PROBES))) == 0).select("v")
+    got = probes.mapInArrow(run, "a long, b long").toPandas()
+    return got.to_numpy(dtype=np.int64).reshape(-1, 2).view(np.uint64)
+
+
+def _tables(mean: np.ndarray, projection: np.ndarray, bits: np.ndarray, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -116,11 +177,12 @@ def _tables(mean: np.ndarray, projection: np.ndarray, tables: int, radius: int):
             ids = batch.column(0).to_numpy()
             code = codes(_matrix(batch.column(1)).astype(np.float64), mean, projection)
             high = code.byteswap()  # the first sign is the highest bit
-            for t in range(tables):
-                width = cuts[t + 1] - cuts[t]
-                part = (high >> np.uint64(64 - cuts[t + 1])) & np.uint64((1 << width) - 1)
-                for rows, key in supersets(part, width, radius // tables):
-                    keys = V.mix(key * np.uint64(tables) + np.uint64(t)) if width > 58 else key * np.uint64(tables) + np.uint64(t)
+            for t, places in enumerate(bits):
+                part = np.zeros(len(high), dtype=np.uint64)
+                for i in places.tolist():
+                    part = (part << np.uint64(1)) | ((high >> np.uint64(63 - i)) & np.uint64(1))
+                for rows, key in supersets(part, len(places), radius):
+                    keys = V.mix(key ^ np.uint64(V.mix_int(t + 1)))
                     yield pa.RecordBatch.from_arrays([pa.array(V.signed(keys)), pa.array(ids[rows]), pa.array(V.signed(code[rows]))], ["key", "id", "code"])
 
     return run
@@ -153,14 +215,14 @@ def _compared(similarity: float):
     return run
 
 
-def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", similarity: float = SIMILARITY, bits: int = BITS, radius: int = RADIUS) -> DataFrame:
+def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", similarity: float = SIMILARITY, bits: int = BITS, recall: float = RECALL) -> DataFrame:
     """(vec_id, duplicate_of, group_size) of every vector whose cosine with a group's member reaches ``similarity``.
 
     Groups are connected; the least id stays. Left out are null ids, vectors that are null, empty or
     zero, that hold a null, NaN or infinity, or that have another dimension than most. Rows that
     share an id are one vector of a group if any of them is. Other columns are not read. An empty
-    table gives an empty result. Tables are as many as leave each substring as long as the logarithm
-    of the number of vectors, so that buckets do not grow with it.
+    table gives an empty result. Tables read as many bits as the logarithm of the number of vectors, so that buckets do not
+    grow with it; there are as many tables as ``recall`` needs on these vectors (``chosen``).
     """
     rows = vectors(table, id_col, vector_col)
     n = rows.count()
@@ -170,9 +232,12 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     d = len(rows.select("v").first()["v"])
     mean, projection = learn(rows, d, n, bits)
     c = projection.shape[1]
-    tables = max(1, min(c, int(c / max(1.0, math.log2(n)))))
-    keyed = rows.mapInArrow(_tables(mean, projection, tables, radius), "key long, id long, code long")
-    close = components(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: bucket_edges(b, "key", "id", ["code"], hamming(CHECK_BITS)), "a long, b long"))
+    places = table_bits(c, max(1, min(c, math.ceil(math.log2(n)))))
+    apart = measured(rows, n, mean, projection, similarity)
+    apart = apart.byteswap()  # the first sign is the highest bit
+    tables, radius, check = chosen(apart, places, recall)
+    keyed = rows.mapInArrow(_tables(mean, projection, places[:tables], radius), "key long, id long, code long")
+    close = components(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: bucket_edges(b, "key", "id", ["code"], hamming(check)), "a long, b long"))
     ranked = rows.join(close, rows["id"] == close["node"]).select("root", "id", "v")
     edges = ranked.repartition("root").sortWithinPartitions("root").mapInArrow(_compared(similarity), "a long, b long")
     return groups(edges).withColumnRenamed("doc_id", "vec_id")

@@ -230,6 +230,35 @@ def test_vectors_against_brute_force(spark):
     assert all(want[a] == want[b] for a, b in got.items())
 
 
+@pytest.mark.parametrize("offset", [0.8, 0.9])
+def test_vectors_with_a_shared_offset(spark, offset):
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(offset * unit(rng.normal(size=(1, 64))) + np.sqrt(1 - offset**2) * unit(rng.normal(size=(2000, 64))))
+    near = itq.moved(base[:400], 0.955, 1)[0]
+    x = np.concatenate([base, near])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["duplicate_of"] for r in itq.near_vectors(df).collect()}
+    assert sum(got.get(a, a) == got.get(2000 + a, 2000 + a) for a in range(400)) >= 0.9 * 400
+
+
+@pytest.mark.parametrize("offset", [0.0, 0.8, 0.9])
+def test_tables_of_many_vectors(offset):
+    # Tables of 22 bits, as of four million vectors: two of them make up the code, before the only ones.
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(offset * unit(rng.normal(size=(1, 64))) + np.sqrt(1 - offset**2) * unit(rng.normal(size=(4000, 64))))
+    mean, turned = base.mean(axis=0), np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    apart = lambda x, seed: np.stack([itq.codes(x, mean, turned) ^ itq.codes(y, mean, turned) for y in itq.moved(x, itq.SIMILARITY, seed)], axis=1).byteswap()
+    places = itq.table_bits(64, 22)
+    tables, radius, check = itq.chosen(apart(base[:2000], 1), places)
+    new = apart(base[2000:], 2)[:, 0]
+    met = np.zeros(len(new), dtype=bool)
+    for row in places[:tables]:
+        met |= np.bitwise_count(new & np.uint64(sum(1 << (63 - int(i)) for i in row))) <= radius
+    assert (met & (np.bitwise_count(new) <= check)).mean() >= 0.9
+
+
 def test_supersets_meet():
     for a, b in itertools.product(range(64), repeat=2):
         meet = set.intersection(*({int(v[0]) for r, v in itq.supersets(np.array([x], dtype=np.uint64), 6, 2) if len(r)} for x in (a, b)))
