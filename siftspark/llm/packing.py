@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.functions.durable import durable
@@ -104,7 +104,8 @@ def pack(
     whole bins and leaves one remainder. Documents without tokens (null, empty) are in no bin; a null
     id is carried as null; repeated rows are so many documents. Documents are dealt to the leaves by
     the hash of their id, so ties and the order of rows do not change the bins. ``bin_id`` is the
-    hash of the bin's first piece. There is a leaf for every ``leaf_items`` pieces. An empty table gives an empty result. Only the named columns are
+    hash of the bin's first piece and of its number among the bins of that first piece, which repeated rows
+    and null ids have. There is a leaf for every ``leaf_items`` pieces. An empty table gives an empty result. Only the named columns are
     read.
     """
     full = max(1, int(np.ceil(capacity * nearly_full)))
@@ -129,7 +130,9 @@ def pack(
     for more in emitted[1:]:
         bins = bins.unionByName(more)
     first = F.col("pieces")[0]
-    return bins.select(
-        F.xxhash64(first["doc_id"], first["begin"]).alias("bin_id"), F.col("fill").alias("tokens"),
+    # Bins that are equal in all of this order are interchangeable.
+    nth = F.row_number().over(Window.partitionBy(first["doc_id"], first["begin"]).orderBy("fill", "pieces"))
+    return bins.select("fill", "pieces", nth.alias("nth")).select(
+        F.xxhash64(first["doc_id"], first["begin"], "nth").alias("bin_id"), F.col("fill").alias("tokens"),
         F.col("pieces.doc_id").alias("doc_ids"), F.col("pieces.begin").alias("begins"), F.col("pieces.tokens").alias("lengths"),
     )

@@ -513,3 +513,10 @@ def test_packing_tree(spark):
     pieces = [n for d in seen for _, n in seen[d]]
     assert len(rows) <= 1.02 * len(packing.best_fit(pieces, 64)) + 1
     assert len({r["bin_id"] for r in rows}) == len(rows)
+
+
+def test_bins_of_repeated_documents(spark):
+    texts = [" ".join("w" for _ in range(n)) for n in (200, 200, 64, 64, 40, 40, 30, 30, 128, 128)]
+    rows = packing.pack(frame(spark, texts, ids=[1, 1, 2, 2, 3, 3, None, None, None, None]), capacity=64).collect()
+    assert sum(r["tokens"] for r in rows) == sum(len(t.split()) for t in texts)
+    assert len({r["bin_id"] for r in rows}) == len(rows)
