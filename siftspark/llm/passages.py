@@ -303,9 +303,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return spanned.union(extra).distinct()
 
 
-SQL = r"""
+SQL = (
+    r"""
 WITH words AS (
-  SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+  SELECT DISTINCT doc_id, regexp_extract_all(lower(text), 'WORD') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 texts AS (
   SELECT doc_id, row_number() OVER () AS r, w FROM words WHERE len(w) >= 50),
 windows AS (
@@ -319,4 +320,5 @@ broken AS (
 runs AS (
   SELECT *, sum(new) OVER (PARTITION BY doc_id, r, kept ORDER BY i) AS run FROM broken)
 SELECT DISTINCT doc_id, min(i)::INT AS begin, (max(i) + 50)::INT AS "end", kept FROM runs GROUP BY doc_id, r, kept, run
-"""
+""".replace("WORD", V.word_pattern())
+)

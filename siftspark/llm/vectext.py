@@ -1,7 +1,8 @@
 """Vectorised word and shingle hashing over the bytes of Arrow string batches.
 
-A word is a maximal run of ASCII letters, digits and non-ASCII bytes of the lower-cased text. All
-functions look at whole texts; a null text is an empty one.
+A word is a maximal run of ASCII letters, digits and other letters of the lower-cased text, or a single
+character of a script that is written without spaces (``SINGLE``); non-ASCII punctuation and spaces
+(``APART``) separate words. All functions look at whole texts; a null text is an empty one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,33 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
+#: Ranges of characters that are words by themselves: Thai and Lao, Burmese, Khmer, kana, Han, and their wide and rare forms.
+SINGLE = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+#: Ranges of non-ASCII characters that belong to no word.
+APART = ((0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0x2000, 0x206F), (0x2190, 0x2BFF), (0x3000, 0x303F), (0xFE30, 0xFE4F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def _joined() -> list[tuple[int, int]]:
+    """The ranges of non-ASCII characters that make up words together."""
+    out, low = [], 0x80
+    for a, b in [*sorted(SINGLE + APART), (0x110000, 0x110000)]:
+        if low < a:
+            out.append((low, a - 1))
+        low = b + 1
+    return out
+
+
+def word_pattern(escape: str = "\\x{{{:x}}}") -> str:
+    """A regular expression of the words of lower-cased text; by default in the spelling of RE2 and Java."""
+    spans = lambda ranges: "".join(f"{escape.format(a)}-{escape.format(b)}" for a, b in ranges)
+    return f"[{spans(SINGLE)}]|[0-9a-z{spans(_joined())}]+"
+
+
+_EDGES, _KINDS = np.array([e for a, b in sorted(SINGLE + APART) for e in (a, b + 1)]), np.array([0, *(k for r in sorted(SINGLE + APART) for k in (1 if r in SINGLE else 2, 0))])
+#: Lead bytes of characters that may be in those ranges.
+_RARE = np.zeros(256, dtype=bool)
+_RARE[[0xC2, *range(0xE0, 0xF5)]] = True
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -87,6 +115,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    inside: np.ndarray
 
     @property
     def rows(self) -> int:
@@ -105,17 +134,37 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _scripts(raw: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Takes the characters of ``APART`` out of ``inside``; the positions at which a word of ``SINGLE`` begins or ends."""
+    at = np.flatnonzero(_RARE[raw])
+    if not len(at):
+        return at
+    lead, last = raw[at], len(raw) - 1
+    tail = [raw[np.minimum(at + k, last)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+    size = np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))
+    two, three = tail[0] | ((lead & 0x1F).astype(np.int64) << 6), tail[1] | (tail[0] << 6) | ((lead & 0x0F).astype(np.int64) << 12)
+    four = tail[2] | (tail[1] << 6) | (tail[0] << 12) | ((lead & 0x07).astype(np.int64) << 18)
+    kind = _KINDS[np.searchsorted(_EDGES, np.select([size == 2, size == 3], [two, three], four), "right")]
+    for k in range(4):
+        inside[at[(kind == 2) & (size > k)] + k] = False
+    own = kind == 1
+    return np.concatenate([at[own], at[own] + size[own]])
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     inside = _IS_WORD[raw]
+    cuts = _scripts(raw, inside)
     before = np.zeros(len(raw) + 1, dtype=bool)
     before[1:] = inside
     before[offsets[:-1]] = False
+    before[cuts] = False
     after = np.zeros(len(raw) + 1, dtype=bool)
     after[:-1] = inside
     after[offsets[1:]] = False
+    after[cuts] = False
     starts = np.flatnonzero(inside & ~before[: len(raw)])
     ends = np.flatnonzero(inside & ~after[1 : len(raw) + 1]) + 1
-    return Words(span_hashes(raw, starts, ends), starts, ends, np.searchsorted(starts, offsets))
+    return Words(span_hashes(raw, starts, ends), starts, ends, np.searchsorted(starts, offsets), inside)
 
 
 _PLACES_ARRAY = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(512)], dtype=np.uint64)
