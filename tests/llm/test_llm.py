@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,18 @@ def test_vectors_awkward(spark):
     assert itq.near_vectors(df.where("vec_id = 9")).count() == 0
 
 
+def test_words():
+    rng = random.Random(1)
+    characters = list("ab1 .é°ªß“…—　、中国語ひらがなカタไทย한국русский😀→«»\n")
+    texts = ["".join(rng.choice(characters) for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    column = V.strings(pa.array(texts))
+    for low, raw, offsets in V.slices(column):
+        found = V.words(raw, offsets)
+        for r in range(found.rows):
+            got = [bytes(raw[found.starts[i] : found.ends[i]]).decode() for i in range(found.first[r], found.first[r + 1])]
+            assert got == WORD.findall(column[low + r].as_py())
+
+
 # 1 and the graph
 
 def test_components(spark):
@@ -146,6 +159,28 @@ def test_packed_similarity():
 
 # 2
 
+WORD = re.compile(V.word_pattern("\\U{:08x}"))
+
+
+def _myers(a, b):
+    """Levenshtein distance, a column of the textbook's table at a time in the bits of an integer."""
+    places = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | (1 << i)
+    if not a:
+        return len(b)
+    mask, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    plus, minus, score = mask, 0, len(a)
+    for c in b:
+        eq = places.get(c, 0)
+        vertical, horizontal = eq | minus, (((eq & plus) + plus) ^ plus) | eq
+        up, down = minus | (~(horizontal | plus) & mask), plus & horizontal
+        score += bool(up & last) - bool(down & last)
+        up = ((up << 1) | 1) & mask
+        plus, minus = ((down << 1) & mask) | (~(vertical | up) & mask), up & vertical
+    return score
+
+
 def _levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -157,43 +192,98 @@ def _levenshtein(a, b):
 
 def test_edit_distance():
     rng = random.Random(2)
+    pairs = []
     for _ in range(3000):
-        a = "".join(rng.choice("ab c") for _ in range(rng.randint(0, 14)))
+        a = "".join(rng.choice("ab cé中") for _ in range(rng.choice([0, 3, 14, 40])))
         b = list(a)
         for _ in range(rng.randint(0, 5)):
             at = rng.randint(0, len(b))
-            b[at : at + rng.randint(0, 2)] = [rng.choice("ab c")] * rng.randint(0, 2)
-        b = "".join(b)
-        d = _levenshtein(a, b)
-        assert linedups._myers(a, b) == d
-        for most in range(6):
-            assert linedups.distance_within(a, b, most) == (d <= most), (a, b, most)
+            b[at : at + rng.randint(0, 2)] = [rng.choice("ab cé中")] * rng.randint(0, 2)
+        pairs.append((a, "".join(b)))
+    distances = [_levenshtein(a, b) for a, b in pairs]
+    assert distances == [_myers(a, b) for a, b in pairs]
+    texts, n = linedups.Texts(pa.array([a for a, _ in pairs] + [b for _, b in pairs])), len(pairs)
+    for similarity in (0.5, 0.7, 0.9, 0.95, 1.0):
+        want = [d <= linedups.most_edits(max(len(a), len(b)), similarity) for d, (a, b) in zip(distances, pairs, strict=True)]
+        assert texts.alike(np.arange(n), np.arange(n, 2 * n), similarity).tolist() == want
+
+
+def _changed(rng, line, share):
+    """The line with one letter in every 1 / share replaced at most, one at least."""
+    other = list(line)
+    for _ in range(rng.randint(1, max(1, int(len(line) * share)))):
+        other[rng.randrange(len(other))] = rng.choice("qrstuv")
+    return "".join(other).upper() if rng.random() < 0.3 else "".join(other)
+
+
+def _line_recall(spark, lines, **settings):
+    """The share of alike pairs that are joined; all that is joined must be connected by alike pairs."""
+    docs = ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)]
+    got = {(r["doc_id"], r["line"]): (r["kept_doc_id"], r["kept_line"]) for r in linedups.repeated_lines(frame(spark, docs), **settings).collect()}
+    forms = [linedups.normal(x.lower()) for x in lines]
+    place = lambda i: (i // 5, i % 5)
+    longest = lambda i, j: max(len(forms[i]), len(forms[j]))
+    near = [(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if abs(len(forms[i]) - len(forms[j])) <= 0.05 * longest(i, j) and 1 - _myers(forms[i], forms[j]) / longest(i, j) >= linedups.SIMILARITY]
+    found = sum(got.get(place(i), place(i)) == got.get(place(j), place(j)) for i, j in near)
+    nodes, roots = graph.label(np.array([i for i, _ in near]), np.array([j for _, j in near]))
+    roots = dict(zip(nodes.tolist(), roots.tolist(), strict=True))
+    at = {place(i): i for i in range(len(lines))}
+    assert all(roots[i] == roots[at[got[place(i)]]] for i in range(len(lines)) if place(i) in got)
+    return len(near), found
 
 
-def test_lines_against_brute_force(spark):
-    rng = random.Random(12)
+@pytest.mark.parametrize("seed", [12, 13, 14, 15, 16])
+def test_lines_against_brute_force(spark, seed):
+    rng = random.Random(seed)
     lines = []
-    for _ in range(150):
+    for _ in range(200):
         base = sentence(rng, rng.randint(4, 40))
         lines.append(base)
-        for _ in range(rng.randint(0, 2)):
-            other = list(base)
-            for _ in range(rng.randint(1, max(1, len(base) // 100))):
-                other[rng.randrange(len(other))] = rng.choice("qrstuv")
-            lines.append("".join(other).upper() if rng.random() < 0.3 else "".join(other))
+        lines += [_changed(rng, base, 1 / 30) for _ in range(rng.randint(0, 2))]
     rng.shuffle(lines)
-    docs = ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)]
-    got = {(r["doc_id"], r["line"]): (r["kept_doc_id"], r["kept_line"]) for r in linedups.repeated_lines(frame(spark, docs)).collect()}
-    forms = [linedups.normal(x.lower()) for x in lines]
-    place = lambda i: (i // 5, i % 5)
-    # _myers is tested against the textbook's table above.
-    longest = lambda i, j: max(len(forms[i]), len(forms[j]))
-    near = [(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if 1 - linedups._myers(forms[i], forms[j]) / longest(i, j) >= linedups.SIMILARITY]
-    found = sum(got.get(place(i), place(i)) == got.get(place(j), place(j)) for i, j in near)
-    assert len(near) > 60 and found >= 0.9 * len(near)
-    exact = list(graph.label(np.array([i for i, _ in near]), np.array([j for _, j in near])))
-    roots = dict(zip(exact[0].tolist(), exact[1].tolist(), strict=True))
-    assert all(roots.get(i, i) == roots.get(next(k for k in range(len(lines)) if place(k) == got[place(i)]), -1) for i in range(len(lines)) if place(i) in got)
+    near, found = _line_recall(spark, lines)
+    assert near > 60 and found >= 0.9 * near
+
+
+def test_lines_of_scripts_without_spaces(spark):
+    rng = random.Random(18)
+    lines = []
+    for low, high in ((0x4E00, 0x9FA0), (0x3041, 0x3096), (0xE01, 0xE2F)):
+        for _ in range(30):
+            base = [chr(rng.randint(low, high)) for _ in range(rng.randint(30, 300))]
+            lines.append("".join(base))
+            base[rng.randrange(len(base))] = chr(low)
+            lines.append("".join(base) + "。")
+    near, found = _line_recall(spark, lines)
+    assert near >= 85 and found >= 0.9 * near
+
+
+def test_large_families_of_lines(spark):
+    rng = random.Random(17)
+    lines, base = [], sentence(rng, 30)
+    while len(lines) < 120:  # a chain: each form is alike to the one before it, the last not to the first
+        base = _changed(rng, base, 1 / 60).lower()
+        lines.append(base)
+    near, found = _line_recall(spark, lines, family=8, chunk=16)
+    assert near > 200 and found == near
+
+
+@pytest.mark.parametrize("length", [20, 30, 60, 120, 400, 800])
+@pytest.mark.parametrize("share", [0.01, 0.03, 0.045])
+def test_blocks_of_many_forms(length, share):
+    # Widths as of four million forms of one band; the brute-force tests above have narrow blocks.
+    rng = random.Random(length)
+    bases = [sentence(rng, length // 5 + 1)[:length].rstrip() + "a" for _ in range(400)]
+    others = ["".join(rng.choice("qrstuv") if i in at else c for i, c in enumerate(x)) for x in bases for at in [set(rng.sample(range(len(x)), max(1, int(len(x) * share))))]]
+    pairs = [(x, y) for x, y in zip(bases, map(linedups.normal, others), strict=True) if _myers(x, y) <= linedups.most_edits(max(len(x), len(y)), linedups.SIMILARITY)]
+    raw = np.frombuffer("\n".join(z for p in pairs for z in p).encode(), dtype=np.uint8)
+    found, begins, _, _ = linedups.line_words(raw, np.array([0, len(raw)]))
+    letters = np.flatnonzero(found.inside)
+    first = np.searchsorted(letters, np.append(begins, len(raw)))
+    sig = linedups.simhashes(linedups._CLASS[raw[letters]], first, np.arange(2 * len(pairs)))
+    keys = linedups.block_keys(sig, 20, *linedups.block_plan(1 << 22))
+    met = (keys[::2] == keys[1::2]).any(axis=1) & linedups._near(sig[::2, -1], sig[1::2, -1])
+    assert len(pairs) > 150 and met.mean() >= (0.9 if length > 20 else 0.75), met.mean()
 
 
 def test_line_numbers_and_rebuilt_texts(spark):
@@ -202,14 +292,19 @@ def test_line_numbers_and_rebuilt_texts(spark):
     assert left == {0: (docs[0], len(docs[0])), 1: ("something else entirely", 23)}
 
 
-def test_simhash_of_many_words():
-    words = V.mix(np.arange(1000, dtype=np.uint64))
-    first = np.array([0, 3, 600, 1000])
-    got = linedups.simhashes(words, first)
-    for row, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-        for k in range(linedups.WORDS):
-            bits = np.unpackbits(V.mix(words[a:b] ^ linedups._FOLD[k]).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
-            assert got[row, k] == np.packbits(bits * 2 > b - a).view(np.uint64)[0]
+def test_simhash_by_its_definition():
+    rng = random.Random(5)
+    lines = [sentence(rng, n).encode() for n in (1, 9, 300)]
+    raw = np.frombuffer(b"".join(lines), dtype=np.uint8)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
+    got = linedups.simhashes(linedups._CLASS[raw], first, np.array([0, 2]))
+    for row, line in enumerate((lines[0], lines[2])):
+        features = np.zeros((linedups.CLASSES, linedups.WAVES))
+        for i, c in enumerate(line):
+            features[linedups._CLASS[c]] += linedups._WAVE[i * linedups.PLACES // len(line)]
+        sums = features.reshape(-1) @ linedups._PLANES
+        bits = np.unpackbits(got[row].view(np.uint8))
+        assert (bits == (sums > 0))[np.abs(sums) > 1e-3].all()
 
 
 # 3
@@ -382,7 +477,7 @@ def test_suffix_array():
 def _passages(texts, length=50):
     """By brute force over all windows."""
     where = {}
-    words = [re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower()) for t in texts]
+    words = [WORD.findall(t.lower()) for t in texts]
     for d, w in enumerate(words):
         for i in range(len(w) - length + 1):
             where.setdefault(tuple(w[i : i + length]), set()).add(d)
