@@ -17,3 +17,11 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of frames that nothing refers to any more.
+
+    The cleaner learns of them when the driver's JVM collects garbage, which a driver with little to do seldom does.
+    """
+    spark.sparkContext._jvm.System.gc()
