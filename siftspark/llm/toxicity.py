@@ -1,8 +1,11 @@
 """Toxic passages by maximum-scoring segment search.
 
-Token scores are log-odds of toxic against clean labelled documents under an informative Dirichlet
-prior (the pooled frequencies), shrunk towards 0 by their standard error and set back by a constant
-drift. A token is known by its word or, for words too rare to tell, by a prefix of its characters.
+A token's score is its log-odds of toxic against clean labelled documents. The share of toxic documents
+among those that have a word has a Dirichlet prior (of two classes) centred at the share of its longest
+prefix, and so on from prefix to prefix down to the share of all documents; a prefix speaks for the other
+words that it begins only. Odds are shrunk towards 0 by the error of their posterior and set back by a
+constant drift; a word that no labelled document has takes the score of its longest known prefix. Near
+copies among the labelled documents count once.
 One scan finds every maximal scoring segment of a text in linear time. Scores of segments are
 calibrated as extreme values of clean text: a segment of score S in a text of n tokens is expected
 K n exp(-lambda S) times by chance, where lambda solves the mean of exp(lambda s) = 1 over clean
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.functions.durable import durable
@@ -27,52 +30,106 @@ from siftspark.llm import vectext as V
 
 #: The classifier is fitted to at most so many labelled documents, the first in the order of hashed ids.
 MAX_LABELLED = 25_000
-PRIOR = 500.0
+#: The prior counts as many documents as so many times the square root of the labelled ones.
+PRIOR = 0.12
 SHRINK = 2.0
 DRIFT = 0.25
 SIGNIFICANCE = 1e-3
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8, 9)
 #: So many best segments of a text are judged together at most.
 MOST_SEGMENTS = 32
 _TAIL_END = 200
 _GRAIN = 1 / 16
-_SALTS = [np.uint64(V.mix_int(0xA5A5 + c)) for c in (0, *PREFIXES)]
+_SALTS = [np.uint64(V.mix_int(0xA5A5 + c)) for c in (*PREFIXES, 0)]
 
 
-def features(raw: np.ndarray, found: V.Words) -> list[np.ndarray]:
-    """For each level (word, then prefixes of 4, 5 and 6 characters) the hash of each word's feature."""
+def features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """For each level (prefixes from the shortest, then the word) the hash of each word's feature."""
     lead = (raw & 0xC0) != 0x80
     leads = np.append(np.flatnonzero(lead), np.full(max(PREFIXES) + 1, len(raw)))
-    at = np.cumsum(lead)[found.starts] - 1 if len(found.starts) else np.zeros(0, np.int64)
-    out = [found.hashes ^ _SALTS[0]]
-    for salt, c in zip(_SALTS[1:], PREFIXES, strict=True):
-        out.append(V.span_hashes(raw, found.starts, np.minimum(leads[at + c], found.ends)) ^ salt)
-    return out
+    at = np.cumsum(lead)[starts] - 1 if len(starts) else np.zeros(0, np.int64)
+    out = [V.span_hashes(raw, starts, np.minimum(leads[at + c], ends)) ^ salt for salt, c in zip(_SALTS, PREFIXES, strict=False)]
+    return [*out, V.span_hashes(raw, starts, ends) ^ _SALTS[-1]]
+
+
+COUNTS = "root long, level int, feature long, parent long, toxic long, docs long"
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(level, feature, toxic documents, clean documents) that have the feature, by batch."""
+    """The features of each level with the one that they extend, the toxic documents and all that have them, by batch."""
     for batch in batches:
         toxic = batch.column(1).to_numpy().astype(bool)
         for low, raw, offsets in V.slices(V.strings(batch.column(0))):
             found = V.words(raw, offsets)
             row = np.repeat(np.arange(found.rows), found.counts)
-            for level, hashes in enumerate(features(raw, found)):
+            levels = features(raw, found.starts, found.ends)
+            for level, hashes in enumerate(levels):
                 order = np.lexsort((row, hashes))
                 h, r = hashes[order], row[order]
                 new = np.ones(len(h), dtype=bool)
                 new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-                h, r = h[new], r[new]
+                order, h, r = order[new], h[new], r[new]
                 kinds, first = np.unique(h, return_index=True)
                 if not len(kinds):
                     continue
-                bad = np.add.reduceat(toxic[low + r].astype(np.int64), first)
-                all_ = np.diff(np.append(first, len(h)))
+                at = order[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(kinds), level, np.int32)), pa.array(V.signed(kinds)), pa.array(bad), pa.array(all_ - bad)], ["level", "feature", "toxic", "clean"]
+                    [
+                        pa.array(V.signed(levels[0][at])), pa.array(np.full(len(kinds), level, np.int32)), pa.array(V.signed(kinds)), pa.array(V.signed(levels[max(0, level - 1)][at])),
+                        pa.array(np.add.reduceat(toxic[low + r].astype(np.int64), first)), pa.array(np.diff(np.append(first, len(h)))),
+                    ],
+                    ["root", "level", "feature", "parent", "toxic", "docs"],
                 )
 
 
+def odds(toxic: np.ndarray, docs: np.ndarray, prior: np.ndarray | float, weight: float, base: float) -> np.ndarray:
+    """The log-odds of the posterior share against the base share, shrunk by its error and rounded."""
+    share = (toxic + weight * prior) / (docs + weight)
+    value = np.log(share / (1 - share)) - math.log(base / (1 - base))
+    error = np.sqrt(1 / (share * (docs + weight)) + 1 / ((1 - share) * (docs + weight)))
+    return np.round(np.sign(value) * np.maximum(0.0, np.abs(value) - SHRINK * error) / _GRAIN) * _GRAIN
+
+
+def _scores(weight: float, base: float):
+    """Scores of whole families of features that begin alike; those that score as what they extend are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for x in batches if x.num_rows]
+        if not held:
+            return
+        level, feature, parent, toxic, docs = (pa.Table.from_batches(held).column(c).to_numpy() for c in ("level", "feature", "parent", "t", "n"))
+        before: tuple[np.ndarray, ...] = ()
+        for k in range(len(PREFIXES) + 1):
+            own = np.flatnonzero(level == k)
+            own = own[np.argsort(feature[own])]
+            t, n = toxic[own].astype(float), docs[own].astype(float)
+            if k:
+                # What a feature adds to the one it extends must not count again in its own prior.
+                at = np.searchsorted(before[0], parent[own])
+                prior = (np.maximum(before[1][at] - t, 0) + weight * before[3][at]) / (np.maximum(before[2][at] - n, 0) + weight)
+                known = before[4][at]
+            else:
+                prior, known = np.full(len(own), base), np.zeros(len(own))
+            score = odds(t, n, prior, weight, base)
+            new = score != known
+            yield pa.RecordBatch.from_arrays([pa.array(feature[own][new]), pa.array(score[new])], ["feature", "score"])
+            before = (feature[own], t, n, prior, score)
+
+    return run
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least hash of three words in a row of each text, which near copies mostly share."""
+    for batch in batches:
+        least = np.zeros(batch.num_rows, dtype=np.uint64)
+        for low, raw, offsets in V.slices(V.strings(batch.column(1))):
+            hashes, first = V.shingles(V.words(raw, offsets), 3)
+            full = np.flatnonzero(np.diff(first))
+            if len(full):
+                least[low + full] = np.minimum.reduceat(hashes, first[full])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(V.signed(least))], [*batch.schema.names, "least"])
+
+
 @dataclass(frozen=True)
 class Model:
     """Scores of the known features (sorted by hash), and the extreme-value parameters."""
@@ -83,16 +140,15 @@ class Model:
     k: float = 1.0
 
     def tokens(self, raw: np.ndarray, found: V.Words) -> np.ndarray:
-        """The score of each word: of its features the highest if any speaks for toxic, else the lowest."""
-        best = np.zeros(len(found.hashes))
-        least = np.zeros(len(found.hashes))
+        """The score of each word: that of its most specific known feature."""
+        _, at, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
+        out = np.zeros(len(at))
         if len(self.hashes):
-            for hashes in features(raw, found):
-                at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-                own = np.where(self.hashes[at] == hashes, self.scores[at], 0.0)
-                np.maximum(best, own, out=best)
-                np.minimum(least, own, out=least)
-        return np.where(best > 0, best, least) - DRIFT
+            for hashes in features(raw, found.starts[at], found.ends[at]):
+                place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+                known = self.hashes[place] == hashes
+                out[known] = self.scores[place[known]]
+        return out[inverse] - DRIFT
 
     def expected(self, score: np.ndarray | float, n: int) -> np.ndarray | float:
         return self.k * n * np.exp(-self.lam * score)
@@ -177,7 +233,8 @@ def _scan(model: Model, column: pa.Array) -> Iterator[tuple[int, int, list[tuple
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
     """The model of the labelled documents, of which ``max_labelled`` are used at most.
 
-    Labels that are null are left out; an id labelled twice is toxic if any label says so. Without
+    Labels that are null are left out; an id labelled twice is toxic if any label says so. Of labelled texts
+    of one label whose least hash of three words in a row agrees, the one of the least id is used. Without
     both toxic and clean documents nothing is known and no segment is ever found.
     """
     spark = docs.sparkSession
@@ -185,20 +242,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.agg(F.max("toxic").cast("int").alias("_toxic")).orderBy(F.xxhash64("_labelled"), "_labelled").limit(max_labelled)
     own = docs.select(F.col(id_col).cast("long").alias("_labelled"), F.col(text_col).cast("string").alias("text"))
     # The labelled side has max_labelled rows of 12 bytes at most.
-    sample = durable(own.join(F.broadcast(chosen), "_labelled").select("text", F.col("_toxic").alias("toxic")))
-    counted = sample.mapInArrow(_counts, "level int, feature long, toxic long, clean long").groupBy("level", "feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    counted = durable(counted)
-    total = counted.groupBy("level").agg(F.sum("t").alias("nt"), F.sum("c").alias("nc"))
-    prior = F.lit(PRIOR) * (F.col("t") + F.col("c")) / (F.col("nt") + F.col("nc"))
-    t, c = F.col("t") + F.col("prior"), F.col("c") + F.col("prior")
-    odds = F.log(t / (F.col("nt") + PRIOR - t)) - F.log(c / (F.col("nc") + PRIOR - c))
-    error = F.sqrt(1 / t + 1 / c)
-    score = F.signum("odds") * F.greatest(F.lit(0.0), F.abs(F.col("odds")) - SHRINK * F.col("error"))
-    scored = (
-        counted.join(F.broadcast(total), "level").where("nt > 0 and nc > 0 and t + c > 1").withColumn("prior", prior).withColumns({"odds": odds, "error": error})
-        .select("feature", (F.round(score / _GRAIN) * _GRAIN).alias("score")).where(F.col("score") != 0)
-    )
-    rows = scored.toPandas()
+    read = own.join(F.broadcast(chosen), "_labelled").select("_labelled", "text", F.col("_toxic").alias("toxic")).mapInArrow(_grouped, "_labelled long, text string, toxic int, least long")
+    alike = Window.partitionBy("least", "toxic").orderBy("_labelled", F.xxhash64("text"))
+    sample = durable(read.withColumn("nth", F.row_number().over(alike)).where((F.col("nth") == 1) | (F.col("least") == 0)).select("text", "toxic"))
+    toxic, docs_ = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    if not 0 < toxic < docs_:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 1.0)
+    counted = sample.mapInArrow(_counts, COUNTS).repartition("root").groupBy("root", "level", "feature", "parent").agg(F.sum("toxic").alias("t"), F.sum("docs").alias("n"))
+    rows = counted.mapInArrow(_scores(PRIOR * math.sqrt(docs_), toxic / docs_), "feature long, score double").toPandas()
     hashes = rows["feature"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)
     model = Model(hashes[order], rows["score"].to_numpy(dtype=float)[order])
@@ -309,7 +360,12 @@ def is_toxic(model: Model, text: Column, significance: float = SIGNIFICANCE) ->
     return flag(text)
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", significance: float = SIGNIFICANCE) -> DataFrame:
-    """The rows of ``docs`` without significant toxic passages, with all their columns, unshuffled."""
-    model = fit(docs, labels, id_col, text_col)
+def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", significance: float = SIGNIFICANCE, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs`` without significant toxic passages, with all their columns, unshuffled.
+
+    Rows with a null or empty text, or a null id, stay unless the text is toxic; repeated rows stay or go together;
+    an empty table stays empty, and without labels of both kinds all rows stay. Columns pass through whatever
+    their names. At most ``max_labelled`` labelled documents fit the scores.
+    """
+    model = fit(docs, labels, id_col, text_col, max_labelled)
     return docs.where(~is_toxic(model, docs[text_col].cast("string"), significance))
