@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 import uuid
@@ -9,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspark.functions.durable import durable
 from siftspark.operators import analytics
 from siftspark.operators.facets import facet_counts
 from siftspark.operators.index import Index, build
@@ -121,13 +123,15 @@ class Collection:
         """
         if not isinstance(documents, DataFrame):
             listed = documents if isinstance(documents, list) else [documents]
-            documents = self.spark.createDataFrame([(json.dumps(d), i) for i, d in enumerate(listed)], "value string, nth_given long")
-        else:
-            documents = documents.select("value").withColumn("nth_given", F.monotonically_increasing_id())
-        parsed = parse_documents(documents, self.schema)
-        first = self._next_seq()
-        # Numbers ascend in the order of the input; they need not be dense.
-        parsed = parsed.withColumn("seq", F.lit(first) + F.col("nth_given") * 1_000_000 + F.col("nth")).drop("nth_given", "nth").persist()
+            documents = self.spark.createDataFrame([(json.dumps(d),) for d in listed], "value string")
+        # Partition and row are kept in one number, and turned into dense numbers in the order of the input.
+        parsed = durable(parse_documents(documents.select("value"), self.schema).drop("nth").withColumn("_at", F.monotonically_increasing_id()))
+        partition, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+        counts = sorted(tuple(r) for r in parsed.groupBy(partition).count().collect())
+        starts = list(itertools.accumulate([self._next_seq(), *(n for _, n in counts)]))[:-1]
+        # One row of 12 bytes for each partition.
+        offsets = self.spark.createDataFrame([(p, n) for (p, _), n in zip(counts, starts, strict=True)], "_partition long, _start long")
+        parsed = parsed.join(F.broadcast(offsets), partition == F.col("_partition")).withColumn("seq", F.col("_start") + row).drop("_at", "_partition", "_start")
         good = parsed.where("error IS NULL").drop("error").withColumn("deleted", F.lit(False))
         self._append(good)
         return parsed.select("seq", "id", "error")
@@ -174,7 +178,7 @@ class Collection:
         index = self.index()
         matched = matched_documents(index, request)
         facets = facet_counts(matched, request.facets) if request.facets else None
-        return SearchResult(page(matched, index, request), matched, facets)
+        return SearchResult(index, page(matched, index, request), matched, facets)
 
     def search_json(self, **params) -> dict:
         """The page as plain objects, with the count of all matches and the facets."""

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.functions.durable import durable
 from siftspark.functions.text import positioned, terms
 from siftspark.plans.schema import CollectionSchema
 
+BUCKETS = 16
 TABLES = ("docs", "postings", "stats", "terms")
 
 
@@ -27,47 +32,84 @@ class Index:
     terms: DataFrame
 
     def write(self, path: str) -> None:
-        """As Parquet: postings in one folder a field and sorted by term, so that a search reads few row groups.
+        """As Parquet: postings in a folder for each field and hash of the term, sorted by term within it.
 
-        The documents are tokenised once: range boundaries are sampled from postings that are kept,
-        and statistics and dictionary are made of what was written.
+        A search for known terms reads their folders only, and few row groups of those. The documents are
+        tokenised once and postings shuffled once; a folder that one frequent term fills is split by the
+        rebalancing. Statistics and dictionary are made of what was written.
         """
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        by_term = durable(self.postings).repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
-        by_term.write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
+        self.docs.sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
+        by_term = self.postings.withColumn("bucket", term_bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("field", "bucket", "term", "doc_id")
+        by_term.write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{path}/postings")
         written = from_postings(self.docs, self.docs.sparkSession.read.parquet(f"{path}/postings"), self.schema)
         written.stats.write.mode("overwrite").parquet(f"{path}/stats")
         written.terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
     @staticmethod
     def read(spark: SparkSession, schema: CollectionSchema, path: str) -> Index:
+        # The postings' field and bucket are names of folders, which pruning knows without reading.
         return Index(schema, *(spark.read.parquet(f"{path}/{t}") for t in TABLES))
 
     def cached(self) -> Index:
         return Index(self.schema, self.docs, *(t.persist() for t in (self.postings, self.stats, self.terms)))
 
 
+def term_bucket(term: Column) -> Column:
+    """The folder of a term; ``bucket_of`` is the same on the driver."""
+    return (F.crc32(term) % BUCKETS).cast("int")
+
+
+def bucket_of(term: str) -> int:
+    return zlib.crc32(term.encode()) % BUCKETS
+
+
 def tokens(docs: DataFrame, schema: CollectionSchema) -> DataFrame:
-    """(field, doc_id, term, pos, len) of every token of the searchable fields; ``len`` is how many the field has."""
+    """(field, doc_id, terms, places) of each searchable field of each document; no places means one after the other."""
     parts = []
     for f in schema.searchable:
         own = F.col(f"`{f.name}`")
         # A token that folds to nothing takes no position.
         found = positioned(own) if f.multi else F.filter(terms(own), lambda t: t != "")
-        kept = docs.select("doc_id", found.alias("t")).select("doc_id", F.size("t").alias("len"), "t")
-        each = kept.select("doc_id", "len", F.explode("t").alias("t")).select("doc_id", "len", "t.term", "t.pos") if f.multi else kept.select("doc_id", "len", F.posexplode("t").alias("pos", "term"))
-        parts.append(each.select(F.lit(f.name).alias("field"), "doc_id", "term", "pos", "len"))
+        kept = docs.select("doc_id", found.alias("t"))
+        columns = [F.col("t.term"), F.col("t.pos")] if f.multi else [F.col("t"), F.lit(None).cast("array<int>")]
+        parts.append(kept.select(F.lit(f.name).alias("field"), F.col("doc_id").cast("long").alias("doc_id"), columns[0].alias("terms"), columns[1].alias("places")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def grouped_by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of documents whose tokens are in one row: terms with their places, without a shuffle."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        if not len(row):
+            continue
+        coded = batch.column("terms").flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own = pc.fill_null(pc.list_value_length(batch.column("places")), 0).to_numpy(zero_copy_only=False)
+        if own.any():
+            place[np.repeat(own > 0, sizes)] = batch.column("places").flatten().to_numpy(zero_copy_only=False)
+        key = row * len(coded.dictionary) + code
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        first = row[order[begin]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("field").take(pa.array(first)), coded.dictionary.take(pa.array(code[order[begin]])), batch.column("doc_id").take(pa.array(first)), pa.array(np.diff(np.append(begin, len(key))).astype(np.int32)),
+                pa.array(sizes[first].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)).astype(np.int32)), pa.array(place[order].astype(np.int32))),
+            ],
+            ["field", "term", "doc_id", "tf", "len", "positions"],
+        )
+
+
 def build(docs: DataFrame, schema: CollectionSchema) -> Index:
     """Index tables of live documents. ``docs`` has a distinct long ``doc_id`` and the schema's columns.
 
-    One shuffle, after a partial aggregation that leaves a row for each document and term. Statistics
-    and the dictionary come from the postings, which are far fewer rows than the tokens.
+    A document's tokens are in one row, so its postings are made without a shuffle. Statistics and the
+    dictionary come from the postings, which are far fewer rows than the tokens.
     """
-    grouped = tokens(docs, schema).groupBy("doc_id", "field", "term").agg(F.count("*").cast("int").alias("tf"), F.max("len").alias("len"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return from_postings(docs, grouped.select("field", "term", "doc_id", "tf", "len", "positions"), schema)
+    return from_postings(docs, tokens(docs, schema).mapInArrow(grouped_by_term, "field string, term string, doc_id long, tf int, len int, positions array<int>"), schema)
 
 
 def from_postings(docs: DataFrame, postings: DataFrame, schema: CollectionSchema) -> Index:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import scoring
 from siftspark.functions.fuzzy import near_terms
-from siftspark.operators.index import Index
+from siftspark.operators.index import Index, bucket_of
 from siftspark.plans.request import SearchRequest
 from siftspark.plans.sorting import ordering
 
@@ -41,13 +41,27 @@ def expansions(index: Index, request: SearchRequest) -> DataFrame:
     return reduce(DataFrame.union, parts).groupBy("token", "term").agg(F.min("edits").alias("edits"))
 
 
-def candidates(index: Index, request: SearchRequest) -> DataFrame:
-    """(token, field, term, edits, idf, mean): the expansions that occur in a queried field."""
+def known_expansions(index: Index, request: SearchRequest) -> list[tuple[int, str, int]]:
+    """``expansions`` on the driver: at most 2 * ``EXPANSION`` + 1 rows a word.
+
+    The terms must be known when the index is read, so that only theirs is read. Words that stand for
+    themselves alone take no job.
+    """
+    words = request.query.tokens
+    open_ = [i for i, w in enumerate(words) if not request.query.in_phrase(i) and (request.typos and index.schema.typo.budget(len(w)) or request.prefix and i == len(words) - 1)]
+    return [tuple(r) for r in expansions(index, request).collect()] if open_ else [(i, w, 0) for i, w in enumerate(words)]
+
+
+def candidates(index: Index, request: SearchRequest) -> tuple[DataFrame, list[str]]:
+    """(token, field, term, edits, idf, mean) of the expansions that occur in a queried field; and their terms."""
     names = [f.name for f in request.query_by]
+    known = known_expansions(index, request)
+    listed = sorted({term for _, term, _ in known})
+    expanded = index.terms.sparkSession.createDataFrame(known, "token int, term string, edits int")
     stats = index.stats.select(F.col("field").alias("_f"), "docs", (F.col("tokens") / F.col("docs")).alias("mean"))
-    found = index.terms.where(F.col("field").isin(names)).join(F.broadcast(expansions(index, request)), "term")
+    found = index.terms.where(F.col("field").isin(names) & F.col("term").isin(listed)).join(F.broadcast(expanded), "term")
     found = found.join(F.broadcast(stats), F.col("field") == F.col("_f"))
-    return found.select("token", "field", "term", "edits", scoring.idf(F.col("docs"), F.col("df")).alias("idf"), "mean")
+    return found.select("token", "field", "term", "edits", scoring.idf(F.col("docs"), F.col("df")).alias("idf"), "mean"), listed
 
 
 def needs_positions(request: SearchRequest) -> bool:
@@ -60,8 +74,11 @@ def token_matches(index: Index, request: SearchRequest) -> DataFrame:
     The candidates are at most ``EXPANSION`` * 2 + 1 for each word and field, so they are broadcast
     and the postings are not shuffled before the aggregation.
     """
-    found = candidates(index, request)
-    hits = index.postings.where(F.col("field").isin([f.name for f in request.query_by])).join(F.broadcast(found), ["field", "term"])
+    found, listed = candidates(index, request)
+    wanted = F.col("field").isin([f.name for f in request.query_by]) & F.col("term").isin(listed)
+    if "bucket" in index.postings.columns:
+        wanted &= F.col("bucket").isin(sorted({bucket_of(t) for t in listed}))
+    hits = index.postings.where(wanted).join(F.broadcast(found), ["field", "term"])
     contrib = scoring.bm25(F.col("idf"), F.col("tf"), F.col("len"), F.col("mean"))
     aggs = [F.max("contrib").alias("contrib"), F.min("edits").alias("edits")]
     columns = ["doc_id", "field", "token", contrib.alias("contrib"), "edits"]
@@ -122,9 +139,12 @@ def matched_documents(index: Index, request: SearchRequest) -> DataFrame:
     """The documents that match, with ``text_match``; without words, all that the filter lets through.
 
     The filter is applied to the documents before they meet the matches, so that it reaches the
-    scan; the statistics behind the scores stay those of the whole collection.
+    scan; the statistics behind the scores stay those of the whole collection. Of the documents only the
+    columns that sorting and facets ask for are carried; the page fetches the rest for its rows.
     """
     docs = index.docs if request.filter is None else index.docs.where(request.filter)
+    asked = dict.fromkeys(["doc_id", *(name for name, _ in request.sort or () if name in docs.columns), *(f.name for f in request.facets or ())])
+    docs = docs.select(*(F.col(f"`{c}`") for c in asked))
     if not request.query.tokens:
         return docs.withColumn("text_match", F.lit(0.0))
     return docs.join(matches(index, request), "doc_id")
@@ -136,15 +156,30 @@ def page(matched: DataFrame, index: Index, request: SearchRequest) -> DataFrame:
     return (ordered.offset(request.offset) if request.offset else ordered).limit(request.limit)
 
 
+def fetched(shown: DataFrame, index: Index) -> DataFrame:
+    """A page with all columns of its documents, in order. Its ids, 250 at most, are looked up first, so that the
+    scan of the documents skips what holds none of them."""
+    rows = [(r["doc_id"], r["text_match"], i) for i, r in enumerate(shown.select("doc_id", "text_match").collect())]
+    ranked = index.docs.sparkSession.createDataFrame(rows, "doc_id long, text_match double, _rank int")
+    own = index.docs.where(F.col("doc_id").isin([r[0] for r in rows]))
+    return own.join(F.broadcast(ranked), "doc_id").orderBy("_rank").drop("_rank")
+
+
 @dataclass(frozen=True)
 class SearchResult:
-    """Lazy frames: ``hits`` in order, ``found`` with one row, ``facets`` (field, value, count) if asked for."""
+    """``shown`` and ``matched`` are lazy and narrow, ``facets`` (field, value, count) lazy and only if asked for."""
 
-    hits: DataFrame
+    index: Index
+    shown: DataFrame
     matched: DataFrame
     facets: DataFrame | None
     found_is_exact: bool = True
 
+    @property
+    def hits(self) -> DataFrame:
+        """The page's documents, in order."""
+        return fetched(self.shown, self.index)
+
     @property
     def found(self) -> int:
         return self.matched.count()
