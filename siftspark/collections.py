@@ -27,6 +27,9 @@ PARTS = CollectionSchema(
 CHAT = CollectionSchema("chat", (FieldSchema("text", "text"), FieldSchema("role", "keyword", facet=True), FieldSchema("turn", "int", facet=True, sort=True)))
 PAGES = CollectionSchema("pages", (FieldSchema("html", "text"),))
 
+#: The parts again, in a script without spaces, with a text of several values and with dates.
+ODD = CollectionSchema("odd", (FieldSchema("title", "text"), FieldSchema("names", "text", multi=True), FieldSchema("made", "date", filter=True, sort=True)))
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
@@ -48,7 +51,13 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), "html")
 
 
-TABLES = {"docs": (DOCS, _docs), "parts": (PARTS, _parts), "chat": (CHAT, _chat), "pages": (PAGES, _pages)}
+def _odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.col("p_partkey").alias("doc_id"), F.translate("p_name", "aeiou", "日月水火木").alias("title"), F.array("p_name", "p_type", "p_brand").alias("names"), (F.col("p_partkey") * 86_400_000_000 % 1_700_000_000_000).alias("made"),
+    )
+
+
+TABLES = {"docs": (DOCS, _docs), "parts": (PARTS, _parts), "chat": (CHAT, _chat), "pages": (PAGES, _pages), "odd": (ODD, _odd)}
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

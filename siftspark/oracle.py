@@ -13,6 +13,7 @@ BASE = {
     ),
     "chat": "SELECT conv_id * 1000 + turn AS doc_id, text, role, turn FROM conversations",
     "pages": "SELECT page_id AS doc_id, html FROM pages",
+    "odd": "SELECT p_partkey AS doc_id, translate(p_name, 'aeiou', '日月水火木') AS title, [p_name, p_type, p_brand] AS names, p_partkey * 86400000000 % 1700000000000 AS made FROM part",
 }
 LOG = (
     "SELECT 'c' || (user_id % 3) AS collection, event_type || ' ' || (user_id % 17) AS query, CASE WHEN value < 10 THEN 0 ELSE floor(value) END::BIGINT AS found, "
@@ -22,8 +23,12 @@ LOG = (
 
 def index_sql(name: str) -> str:
     """Common tables base, tok, post, lens, stats and dict of a collection."""
-    fields = [f.name for f in TABLES[name][0].searchable]
-    each = " UNION ALL ".join(f"SELECT '{f}' AS field, doc_id, regexp_extract_all(lower(strip_accents({f})), '[\\p{{L}}\\p{{N}}]+') AS w FROM base" for f in fields)
+    fields = [f.name for f in TABLES[name][0].searchable if not f.multi]
+    # Han characters are tokens by themselves; blanks around them make them so.
+    each = " UNION ALL ".join(
+        f"SELECT '{f}' AS field, doc_id, regexp_extract_all(regexp_replace(lower(strip_accents({f})), '([\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+') AS w FROM base"
+        for f in fields
+    )
     return f"""base AS ({BASE[name]}),
 tok AS MATERIALIZED (SELECT field, doc_id, (unnest(range(len(w))))::INT AS pos, substr(unnest(w), 1, 64) AS term FROM ({each})),
 post AS MATERIALIZED (SELECT field, term, doc_id, count(*)::INT AS tf, list(pos ORDER BY pos) AS ps FROM tok GROUP BY field, term, doc_id),

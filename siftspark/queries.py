@@ -118,8 +118,21 @@ _matched("found", "docs", where="lang = 'fr'", q="la", filter="lang:fr", **_plai
 QUERIES["found"] = lambda s, d, q=QUERIES["found"]: q(s, d).agg(F.count("*").alias("found"))
 ORACLE_SQL["found"] = f"SELECT count(*) AS found FROM ({ORACLE_SQL['found']})"
 
+_matched("search_all_fields", "parts", q="red economy", **_plain)
+_matched("phrase_and_other_field", "parts", q='"small ring" economy', **_plain)
+_matched("search_han", "odd", q="r月d", query_by="title", **_plain)
+_matched("phrase_han", "odd", q='"r月d"', query_by="title", **_plain)
+_VALUES = " UNION ALL ".join(f"SELECT doc_id, {i} AS nth, regexp_extract_all(lower(strip_accents(names[{i}])), '[\\p{{L}}\\p{{N}}]+') AS w FROM base" for i in (1, 2, 3))
+_add(
+    "postings_of_many_values", lambda s, d: C.index(s, d, "odd").postings.where("field = 'names'").select("term", "doc_id", "tf", "len", F.array_join("positions", ",").alias("positions")),
+    f"""WITH base AS ({O.BASE['odd']}), vals AS ({_VALUES}), starts AS (SELECT doc_id, w, coalesce(sum(len(w) + 100) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, sum(len(w)) OVER (PARTITION BY doc_id) AS len FROM vals),
+t AS (SELECT doc_id, len, low + unnest(range(len(w))) AS pos, unnest(w) AS term FROM starts) SELECT term, doc_id, count(*)::INT AS tf, any_value(len)::INT AS len, string_agg(pos::BIGINT, ',' ORDER BY pos) AS positions FROM t GROUP BY term, doc_id""",
+)
+
 # Filters
 
+_browsed("filter_date", "odd", "made:>=2001-09-09T01:46:40Z", "made >= 1000000000000")
+
 _browsed("filter_equal", "docs", "lang:=de", "lang = 'de'")
 _browsed("filter_not_equal", "docs", "lang:!=de", "lang IS NOT NULL AND lang <> 'de'")
 _browsed("filter_less", "parts", "price:<950.5", "price < 950.5")
@@ -148,6 +161,8 @@ _paged("sort_nulls_last", "parts", "spare DESC NULLS LAST", where="size <= 4", q
 _paged("sort_array_least", "parts", "list_min(steps) DESC NULLS LAST", q="", sort="steps:desc", limit=100)
 _paged("sort_score_then_field", "parts", "text_match DESC, price ASC NULLS LAST", q="small", sort="_text_match:desc,price:asc", limit=60, **_plain)
 
+_paged("sort_date", "odd", "made DESC NULLS LAST", q="", sort="made:desc", limit=100)
+
 # Facets
 
 _bools = "[CASE WHEN big THEN '1' ELSE '0' END]"

@@ -204,3 +204,46 @@ def test_best_field_and_ties(spark, tmp_path):
     assert ids(c.search(q="same", sort="_text_match:desc,price:asc")) == ["4", "3", "2", "1", "0"]
     assert ids(c.search(q="same", offset=3, limit=5)) == ["3", "4"]
     assert c.search(q="same").matched.agg(F.countDistinct("text_match")).first()[0] == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_search_reads_its_terms_only(spark):
+    from siftspark import collections as C
+    from siftspark.operators.index import bucket_of
+    from siftspark.operators.search import matched_documents
+
+    index = C.index(spark, "/root/testdata/sf0.001", "docs")
+    plan = _plan(matched_documents(index, resolve_search(index.schema, q="the of", prefix=False, typo_tolerance=False, sort="n_chars:asc")))
+    assert "In(term, [of,the])" in plan and "bucket#" in plan and all(str(bucket_of(t)) in plan for t in ("the", "of"))
+    assert "struct<doc_id:bigint,n_chars:bigint>" in plan and "text:string" not in plan
+
+
+def test_numbers_of_many_partitions(spark, tmp_path):
+    schema = CollectionSchema("many", (FieldSchema("n", "int", sort=True), FieldSchema("title", "text")))
+    many = Engine(spark, str(tmp_path)).create_collection(schema)
+    for low in (0, 3000):
+        rows = spark.range(low, low + 2400, 1, 1200).select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.col("id").alias("n"), F.lit("x").alias("title"))).alias("value"))
+        assert many.upsert(rows).where("error IS NULL").count() == 2400
+    live = [r["n"] for r in many.live().orderBy("doc_id").select("n").collect()]
+    assert live == [*range(2400), *range(3000, 5400)]
+    assert many.live().agg(F.max("doc_id")).first()[0] < 10_000
+
+
+def test_deleting_and_compacting_equals_rebuilding(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    made = [{"id": str(i), "title": f"word{i % 7} and word{i % 5} number {i}", "price": i} for i in range(120)]
+    one = engine.create_collection(CollectionSchema("one", (FieldSchema("title", "text"), FieldSchema("price", "int", sort=True))))
+    two = engine.create_collection(CollectionSchema("two", (FieldSchema("title", "text"), FieldSchema("price", "int", sort=True))))
+    for low in (0, 40, 80):
+        one.upsert(made[low : low + 40])
+    for i in range(0, 12, 3):
+        assert one.delete(str(i))
+    one.compact()
+    two.upsert([d for d in made if int(d["id"]) % 3 or int(d["id"]) >= 12])
+    rows = lambda c: sorted(
+        tuple(r) for r in c.index().postings.join(c.live().select("doc_id", "id"), "doc_id").select("id", "field", "term", "tf", "len", F.array_join("positions", ",")).collect()
+    )
+    assert rows(one) == rows(two)
