@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.functions.durable import durable
 from siftspark.llm import vectext as V
 from siftspark.llm.frames import fresh
 from siftspark.llm.graph import bucket_edges, components
@@ -95,12 +96,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result. Texts are used whole, however long.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    signed = own.mapInArrow(_signatures, f"id long, whole long, {SIGNATURE}, bands array<long>")
+    signed = durable(own.mapInArrow(_signatures, f"id long, whole long, {SIGNATURE}, bands array<long>"))
     sig = [f"s{i}" for i in range(WORDS)]
-    order = Window.partitionBy("whole", *sig)
-    ranked = signed.withColumn("rep", F.min("id").over(order)).withColumn("nth", F.row_number().over(order.orderBy("id")))
-    copies = ranked.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    banded = ranked.where("nth = 1").select("id", *sig, F.explode("bands").alias("key"))
+    # Copies meet by a partial aggregation; only ids and signatures are joined back.
+    least = signed.groupBy("whole", *sig).agg(F.min("id").alias("rep"))
+    copies = signed.select("id", "whole", *sig).join(least, ["whole", *sig]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    banded = signed.join(least.withColumnRenamed("rep", "id"), ["id", "whole", *sig], "left_semi").select("id", *sig, F.explode("bands").alias("key"))
     close = banded.select("key", "id", *sig).repartition("key").sortWithinPartitions("key").mapInArrow(_edges(threshold), "a long, b long")
     return groups(copies.union(close))
 

@@ -33,8 +33,8 @@ RULES = (
     Rule("private_key", 1, r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", ("private key-----",)),
     Rule("json_web_token", 1, _EDGE + r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", ("eyj",)),
     Rule(
-        "assigned_secret", 1,
-        _EDGE + r"""(?i:token|secret|password|passwd|api_key|apikey|access_key)[ \t]*[:=][ \t]*["']([^"' \t\n\r]{8,})["']""",
+        "assigned_secret", 2,
+        _EDGE + r"""[A-Za-z0-9_.-]*(?i:token|secret|password|passwd|api_key|apikey|access_key)["']?[ \t]*[:=][ \t]*["']([^"' \t\n\r]{8,})["']""",
         ("token", "secret", "passw", "api_key", "apikey", "access_key"),
     ),
     Rule("connection_password", 1, r"[a-z][a-z0-9+]{2,}://[A-Za-z0-9_.-]+:([^@/ \t\n\r:]{3,})@", ("://",)),
@@ -58,7 +58,7 @@ def _hits(text: Column, rules: tuple[Rule, ...]) -> Column:
 
 def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None) -> DataFrame:
     """(doc_id, path, blob_id, text) of every version; rows with a null text are no version."""
-    at = F.concat_ws("/", F.col("source"), F.col("lang"), F.col(id_col).cast("string")) if path is None else path
+    at = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "lang", id_col))) if path is None else path
     text = F.col(text_col).cast("string")
     return docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), at.alias("path"), F.sha2(text, 256).alias("blob_id"), text.alias("text"))
 
@@ -89,7 +89,8 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     A row for each match of each rule in each version; the secret itself is never returned. A null
     text is no version and an empty one has no findings. Rows that repeat path and text are one
-    version; several texts at one path are several. A null id or path stays null. An empty table
+    version; several texts at one path are several. A null id stays null and is an empty part of the
+    path, as a null source or language is; a null path that is given stays null. An empty table
     gives an empty result. Columns other than id, text and those of the path (source and lang) are
     not read. Texts are scanned whole.
     """
@@ -140,7 +141,7 @@ def _sql() -> str:
     ]
     return f"""
 WITH versions AS (
-  SELECT DISTINCT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, sha256(text) AS blob_id, text FROM documents WHERE text IS NOT NULL),
+  SELECT DISTINCT doc_id, concat_ws('/', coalesce(source, ''), coalesce(lang, ''), coalesce(doc_id::VARCHAR, '')) AS path, sha256(text) AS blob_id, text FROM documents WHERE text IS NOT NULL),
 findings AS ({" UNION ALL ".join(parts)})
 SELECT doc_id, path, blob_id, rule, rule_version::INT AS rule_version, nth::INT AS nth, sha256(secret) AS secret_sha256, length(secret)::INT AS secret_chars
 FROM versions JOIN findings USING (blob_id)

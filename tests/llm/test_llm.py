@@ -437,7 +437,11 @@ def test_toxicity_on_held_out_documents(spark):
         toxic.append(bad)
     docs = frame(spark, texts)
     known = spark.createDataFrame([(i, int(toxic[i])) for i in range(200)], "doc_id long, toxic int")
-    rows = toxicity.toxic_documents(docs, known).collect()
+    worst = " ".join(clean[:40] + foul * 3)
+    odd = frame(spark, [worst, worst, worst, None, "", worst + " " + " ".join(clean * 200)], ids=[None, 900, 900, 901, 902, 903])
+    every = toxicity.toxic_documents(docs.union(odd).withColumn("least", F.lit(1)).withColumn("toxic", F.lit(0)), known).collect()
+    rows = [r for r in every if r["doc_id"] is not None and r["doc_id"] < 900]
+    assert sorted((r["doc_id"] for r in every if r not in rows), key=str) == [900, 900, 903, None]
     held = {r["doc_id"] for r in rows if r["doc_id"] >= 200}
     want = {i for i in range(200, 400) if toxic[i]}
     assert len(held & want) >= 0.95 * len(want) and len(held - want) <= 2
@@ -527,6 +531,19 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert {tuple(r) for r in secrets.scan_secrets(docs).collect()} == {tuple(r) for r in ledger.scan(docs).collect()}
 
 
+def test_secrets_of_awkward_rows(spark):
+    key = "AKIA" + "A1B2C3D4E5F6G7H8"
+    rows = [(None, key, "en", "s", 1), (1, key, "en", None, 1), (1, key, None, "en", 1), (1, key, None, "en", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, "word " * 50_000 + key, "en", "s", 1)]
+    found = secrets.scan_secrets(spark.createDataFrame(rows, DOCS).withColumn("place", F.lit(1)).withColumn("hits", F.lit(2))).collect()
+    assert sorted((r["path"], r["rule"], r["nth"]) for r in found) == [(p, "aws_access_key", 0) for p in ("/en/1", "en//1", "s/en/", "s/en/4")]
+
+
+def test_assigned_secrets(spark):
+    texts = ['DB_PASSWORD="hunter2hunter2"', "client_secret = 'abcdefgh12'", '{"password": "s3cr3ts3cr3t"}', 'token = "c044c15f39d0"', 'the token: "short"', "a secret = nothing quoted"]
+    found = {r["doc_id"] for r in secrets.scan_secrets(frame(spark, texts)).collect() if r["rule"] == "assigned_secret"}
+    assert found == {0, 1, 2, 3}
+
+
 # 8
 
 def _least_capacity(sizes, shards):
@@ -573,6 +590,17 @@ def test_sketches(spark):
     assert merged[1]["sketch"] == rows[0]["sketch"] and merged[1]["shingles"] == rows[0]["shingles"] and merged[2]["sketch"] == []
 
 
+def test_registered_sketches_against_brute_force(spark):
+    rng = random.Random(19)
+    texts = [sentence(rng, n) for n in (0, 1, 2, 3, 65, 66, 67, 400, 3000)] + [None, "中国語 " * 40]
+    for r in sketch.fingerprints(frame(spark, texts)).collect():
+        column = V.strings(pa.array([texts[r["doc_id"]]], pa.string()))
+        every = set().union(*(V.shingles(V.words(raw, offsets), sketch.SHINGLE)[0].tolist() for _, raw, offsets in V.slices(column)))
+        assert r["sketch"] == [x - (1 << 63) for x in sorted(every)[: sketch.SIZE]]
+        if len(every) < sketch.SIZE:
+            assert r["distinct_shingles"] == len(every)
+
+
 # 10
 
 def test_best_fit():
