@@ -4,9 +4,10 @@ A line's normal form is its words in lower case, digits as 0, joined by single b
 normal form are copies. Distinct forms get a SimHash whose features are the letters together with
 the low waves of their places in the line: a letter that is changed, added or taken out turns a
 SimHash by little wherever it stands, however short the line is, and the waves have no mean that
-all lines of a language would share. Forms of like length that agree in a whole block, and whose check
-words are near, are candidates; of each pair of them the edit similarity is computed once. Blocks are as
-wide as the number of forms of that length asks for, and as many as keep the pairs found at that width.
+all lines of a language would share. Forms of like length that agree in a whole block and in one of the
+bytes of their check words that go with it, and whose check words are near, are candidates; of each pair of
+them the edit similarity is computed once. Only blocks are shuffled by, bytes are met within a task. Whether
+two forms are candidates depends on the two alone, however many others there are.
 """
 
 from __future__ import annotations
@@ -35,14 +36,13 @@ BITS = 64 * WORDS
 CHECKED = 96
 #: Check bits in which candidates may differ; pairs of similarity 0.95 differ in 10 of 96 on average.
 CHECK_BITS = 17
-#: The share of bits that agree in pairs near the least similarity, and the share of them that may miss all blocks.
-AGREE, MISSED = 0.89, 0.035
-#: Blocks are so wide that random forms of one length would share them with 2 ** ROOM others.
-ROOM = 5
-MOST_BITS = 32
-LEAST_BLOCKS = 12
+#: The width of the blocks and their number, whatever the input's size.
+WIDTH, BLOCKS = 10, 12
+#: Each key of a block goes with one of so many runs of the check bits' bytes.
+TURNS = 3
+TURN_BYTES = CHECKED // 8 // TURNS
 BAND = 0.3
-#: Buckets of more forms are not compared pair by pair, but their families in chunks of so many forms.
+#: Of groups of more forms that have more near pairs than so many forms can have, families are compared in chunks.
 FAMILY = 1024
 CHUNK = 1024
 #: Bits of the bitmap of documents whose texts are wanted: 8 MB, whatever the input's size.
@@ -51,6 +51,9 @@ _SIGS = [*(f"s{i}" for i in range(WORDS)), "c", "d"]
 _SIG_TYPE = ", ".join(f"{s} {'int' if s == 'd' else 'long'}" for s in _SIGS)
 _ENTRIES = 1 << 20
 _BUCKET_BYTES = 1 << 24
+#: Groups of so many forms are compared together with others; larger ones so many rows at a time.
+_SMALL, _ROWS = 12, 256
+_PAIRS = 1 << 22
 _CELLS = 1 << 20
 #: Pairs with room for so many edits are first compared by their runs of characters.
 _LONG, _RUN = 40, 6
@@ -158,10 +161,9 @@ def bands(sizes: np.ndarray, similarity: float) -> np.ndarray:
     return np.stack([np.floor(x / BAND), np.floor((x - np.log(similarity) + 1e-9) / BAND)], axis=1).astype(np.int64)
 
 
-def block_plan(forms: float) -> tuple[int, int]:
-    """The width of blocks and their number for a band of so many forms."""
-    width = int(min(MOST_BITS, max(8, math.floor(math.log2(max(forms, 2))) - ROOM)))
-    return width, max(LEAST_BLOCKS, math.ceil(math.log(MISSED) / math.log(1 - AGREE**width)))
+def block_plan(forms: float = 0) -> tuple[int, int]:
+    """The width of blocks and their number: the same for any number of forms, so that no pair is lost as a table grows."""
+    return WIDTH, BLOCKS
 
 
 def block_keys(sig: np.ndarray, band: int, width: int, blocks: int) -> np.ndarray:
@@ -176,7 +178,7 @@ def block_keys(sig: np.ndarray, band: int, width: int, blocks: int) -> np.ndarra
     return out
 
 
-def _entries(batch: pa.RecordBatch, similarity: float, plans: dict[int, tuple[int, int]]) -> np.ndarray:
+def _entries(batch: pa.RecordBatch, similarity: float) -> np.ndarray:
     """(part hash, block key, h, check bits) of a batch of forms in 32-bit words: 1, 1, 2 and 3 of them."""
     sig = np.stack([batch.column(s).to_numpy() for s in _SIGS[:-1]], axis=1).view(np.uint64)
     last = batch.column("d").to_numpy().view(np.uint32)
@@ -184,15 +186,14 @@ def _entries(batch: pa.RecordBatch, similarity: float, plans: dict[int, tuple[in
     out = [np.zeros((0, 7), np.uint32)]
     for own, rows in ((band[:, 0], np.arange(len(h))), (band[:, 1], np.flatnonzero(band[:, 0] != band[:, 1]))):
         for b in np.unique(own[rows]).tolist():
-            if b in plans:
-                some = rows[own[rows] == b]
-                keys = block_keys(sig[some], b, *plans[b])
-                each = np.repeat(some, keys.shape[1])
-                out.append(np.column_stack([np.column_stack([keys.reshape(-1), h[each], sig[each, WORDS]]).view(np.uint32), last[each]]))
+            some = rows[own[rows] == b]
+            keys = block_keys(sig[some], b, *block_plan())
+            each = np.repeat(some, keys.shape[1])
+            out.append(np.column_stack([np.column_stack([keys.reshape(-1), h[each], sig[each, WORDS]]).view(np.uint32), last[each]]))
     return np.concatenate(out)
 
 
-def _blocked(similarity: float, plans: dict[int, tuple[int, int]], parts: int):
+def _blocked(similarity: float, parts: int):
     """Entries packed by the part that their key falls to, so that the shuffle moves few large rows."""
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -207,7 +208,7 @@ def _blocked(similarity: float, plans: dict[int, tuple[int, int]], parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            held.append(_entries(batch, similarity, plans))
+            held.append(_entries(batch, similarity))
             n += len(held[-1])
             if n >= _ENTRIES:
                 yield packed(held)
@@ -223,8 +224,52 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= CHECK_BITS
 
 
+def _dense(check: np.ndarray, rest: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The near pairs of one group, or None where there are more than ``most``."""
+    a, b, n = [], [], 0
+    for low in range(0, len(check), _ROWS):
+        i, j = np.divmod(np.flatnonzero(np.bitwise_count(check[low : low + _ROWS, None] ^ check[None, low:]) <= CHECK_BITS), len(check) - low)
+        up = j > i
+        i, j = i[up] + low, j[up] + low
+        near = np.bitwise_count(check[i] ^ check[j]) + np.bitwise_count(rest[i] ^ rest[j]) <= CHECK_BITS
+        a.append(i[near])
+        b.append(j[near])
+        n += len(a[-1])
+        if n > most:
+            return None
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _near_pairs(group: np.ndarray, check: np.ndarray, rest: np.ndarray, family: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """The near pairs of places of each group, in which ``group`` is equal and sorted; of a family a spanning forest, marked as such."""
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes = np.diff(np.append(begin, len(group)))
+    small = min(_SMALL, family)
+    each = np.repeat(sizes, sizes)
+    own = np.flatnonzero((each > 1) & (each <= small))
+    g, c, r = group[own], check[own], rest[own]
+    for step in range(1, min(small, len(own))):
+        hit = np.flatnonzero((g[step:] == g[:-step]) & (np.bitwise_count(c[step:] ^ c[:-step]) <= CHECK_BITS))
+        hit = hit[np.bitwise_count(c[hit] ^ c[hit + step]) + np.bitwise_count(r[hit] ^ r[hit + step]) <= CHECK_BITS]
+        yield own[hit], own[hit + step], False
+    large = np.flatnonzero(sizes > small)
+    for low, size in zip(begin[large].tolist(), sizes[large].tolist(), strict=True):
+        c, r = check[low : low + size], rest[low : low + size]
+        pairs = _dense(c, r, family * family // 2)
+        if pairs is not None:
+            yield low + pairs[0], low + pairs[1], False
+        else:
+            forest = np.array(list(spanning_edges(np.stack([c, r.astype(np.uint64)], axis=1), _near)), dtype=np.int64).reshape(-1, 2) + low
+            yield forest[:, 0], forest[:, 1], True
+
+
+def turns(key: np.ndarray) -> np.ndarray:
+    """Which run of the check bits' bytes goes with each block's key."""
+    return (key >> np.uint64(32)) % np.uint64(TURNS)
+
+
 def _candidates(family: int):
-    """The near pairs (a, b) of each bucket; of buckets of more than ``family`` forms a spanning forest, marked as such."""
+    """The near pairs (a, b) of each block and byte; of families a spanning forest of near pairs, marked as such."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
@@ -232,37 +277,58 @@ def _candidates(family: int):
             return
         entries = np.frombuffer(b"".join(blobs), dtype=np.uint32).reshape(-1, 6)
         del blobs
-        entries = entries[np.argsort(entries[:, 0])]
-        key = np.ascontiguousarray(entries[:, 0])
-        h, check = (np.ascontiguousarray(entries[:, i : i + 2]).view(np.uint64)[:, 0] for i in (1, 3))
-        rest = np.ascontiguousarray(entries[:, 5])
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(begin, len(key)))
-        some, families = [], []
-        i = np.flatnonzero(np.repeat(sizes, sizes)[:-1] <= family)
-        for step in range(1, family):
-            i = i[i + step < len(key)]
-            i = i[key[i] == key[i + step]]
-            if not len(i):
-                break
-            near = np.bitwise_count(check[i] ^ check[i + step])
-            hit = i[near <= CHECK_BITS]
-            hit = hit[near[near <= CHECK_BITS] + np.bitwise_count(rest[hit] ^ rest[hit + step]) <= CHECK_BITS]
-            some.append(np.stack([h[hit], h[hit + step]], axis=1))
-        for g in np.flatnonzero(sizes > family):
-            low = begin[g]
-            own = slice(low, low + sizes[g])
-            pairs = list(spanning_edges(np.stack([check[own], rest[own].astype(np.uint64)], axis=1), _near))
-            families.append(h[np.array(pairs, dtype=np.int64).reshape(-1, 2) + low])
-        for found, marked in ((some, False), (families, True)):
-            pairs = V.signed(np.concatenate([np.zeros((0, 2), np.uint64), *found]))
-            pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.full(len(pairs), marked))], ["a", "b", "family"])
+        kinds, form = np.unique(np.ascontiguousarray(entries[:, 1:3]).view(np.uint64)[:, 0], return_inverse=True)
+        _, bucket = np.unique(entries[:, 0], return_inverse=True)
+        check, rest = np.ascontiguousarray(entries[:, 3:5]).view(np.uint64)[:, 0], np.ascontiguousarray(entries[:, 5])
+        octets = np.ascontiguousarray(entries[:, 3:]).view(np.uint8)
+        first = np.arange(len(entries)) * octets.shape[1] + entries[:, 0] % np.uint32(TURNS) * np.int64(TURN_BYTES)
+        found: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        held = {False: 0, True: 0}
+        for byte in range(TURN_BYTES):
+            group = bucket << 8 | octets.reshape(-1)[first + byte]
+            order = np.argsort(group)
+            for a, b, marked in _near_pairs(group[order], check[order], rest[order], family):
+                a, b = form[order[a]], form[order[b]]
+                found[marked].append((np.maximum(a, b) * len(kinds) + np.minimum(a, b))[a != b])
+                held[marked] += len(a)
+                if held[marked] > _PAIRS:
+                    found[marked] = [np.unique(np.concatenate(found[marked]))]
+                    held[marked] = len(found[marked][0]) // 2
+        for marked, pairs in found.items():
+            a, b = np.divmod(np.unique(np.concatenate([np.zeros(0, np.int64), *pairs])), len(kinds))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(V.signed(kinds[a])), pa.array(V.signed(kinds[b])), pa.array(np.full(len(a), marked))], ["a", "b", "family"])
 
     return run
 
 
+class Sketches:
+    """SimHashes of forms, to tell of any two of them whether they are candidates."""
+
+    def __init__(self, sig: np.ndarray, last: np.ndarray, sizes: np.ndarray, similarity: float):
+        band = bands(sizes, similarity)
+        self.keys = np.zeros((len(sig), 2, BLOCKS), dtype=np.uint64)
+        for b in np.unique(band).tolist():
+            for nth in range(2):
+                own = band[:, nth] == b
+                self.keys[own, nth] = block_keys(sig[own], b, *block_plan())
+        self.keys = self.keys.reshape(len(sig), -1)
+        self.turns = turns(self.keys).astype(np.int64)
+        self.check = np.column_stack([np.ascontiguousarray(sig[:, WORDS : WORDS + 1]).view(np.uint32), last])
+        self.octets = self.check.view(np.uint8)
+
+    def candidates(self, at: int, others: np.ndarray) -> np.ndarray:
+        """Which of the other forms are candidates with the one at ``at``, as ``_candidates`` would find them."""
+        out = _near(self.check[at], self.check[others])
+        some = np.flatnonzero(out)
+        octet = (self.octets[others[some]] == self.octets[at]).reshape(-1, TURNS, TURN_BYTES).any(axis=2)
+        met = np.zeros(len(some), dtype=bool)
+        for key, turn in zip(self.keys[at], self.turns[at], strict=True):
+            met |= octet[:, turn] & (self.keys[others[some]] == key).any(axis=1)
+        out[some] = met
+        return out
+
+
 _WORD = re.compile(V.word_pattern("\\U{:08x}"))
 _DIGITS = re.compile(r"[0-9]")
 
@@ -370,15 +436,16 @@ class Texts:
         return out
 
 
-def line_groups(forms: pa.Array, similarity: float) -> Iterator[tuple[int, int]]:
-    """Edges that join all forms connected by alike pairs: a form that is reached is compared with all that are not."""
+def line_groups(forms: pa.Array, sketches: Sketches, similarity: float) -> Iterator[tuple[int, int]]:
+    """Edges that join all forms connected by alike candidates: a form that is reached is compared with all that are not."""
     texts = Texts(forms)
     left = np.arange(len(forms))
     while len(left) > 1:
         frontier, left = [int(left[0])], left[1:]
         while frontier and len(left):
             at = frontier.pop()
-            hit = texts.alike(np.full(len(left), at), left, similarity)
+            hit = sketches.candidates(at, left)
+            hit[hit] = texts.alike(np.full(int(hit.sum()), at), left[hit], similarity)
             for i in left[hit].tolist():
                 yield at, i
             frontier.extend(left[hit].tolist())
@@ -408,9 +475,12 @@ def _families(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "group"):
             group, h, forms = table.column("group").to_numpy(), table.column("h").to_numpy(), table.column("form").combine_chunks()
+            sig = np.stack([table.column(s).to_numpy() for s in _SIGS[:-1]], axis=1).view(np.uint64)
+            last, sizes = table.column("d").to_numpy().view(np.uint32), table.column("size").to_numpy()
             begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             for low, high in zip(begin, np.append(begin[1:], len(group)), strict=True):
-                edges = np.array(list(line_groups(forms.slice(low, high - low), similarity)), dtype=np.int64).reshape(-1, 2) + low
+                sketches = Sketches(sig[low:high], last[low:high], sizes[low:high], similarity)
+                edges = np.array(list(line_groups(forms.slice(low, high - low), sketches, similarity)), dtype=np.int64).reshape(-1, 2) + low
                 yield pa.RecordBatch.from_arrays([pa.array(h[edges[:, 0]]), pa.array(h[edges[:, 1]])], ["a", "b"])
 
     return run
@@ -493,8 +563,8 @@ def forms_of(own: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts
 
 
-def family_edges(families: DataFrame, forms: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
-    """Alike pairs that join the forms of families too large for a bucket.
+def family_edges(families: DataFrame, forms: DataFrame, texts: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Alike candidates that join the forms of families with too many near pairs to be listed.
 
     A family is dealt into chunks of about ``chunk`` forms by hash, and each two chunks meet in one group, so
     that no task holds more than two chunks at a time however large the family is.
@@ -505,7 +575,8 @@ def family_edges(families: DataFrame, forms: DataFrame, similarity: float, chunk
     dealt = member.join(sizes, "root").select("root", F.col("node").alias("h"), own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     group = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
     parts = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = dealt.select(group.alias("group"), "h").join(forms, "h").repartition(parts, "group").sortWithinPartitions("group")
+    sketched = texts.join(forms.join(member.select(F.col("node").alias("h")), "h", "left_semi"), "h")
+    met = dealt.select(group.alias("group"), "h").join(sketched, "h").repartition(parts, "group").sortWithinPartitions("group")
     return met.mapInArrow(_families(similarity), "a long, b long")
 
 
@@ -513,24 +584,19 @@ def alike_forms(own: DataFrame, lines: DataFrame, similarity: float, family: int
     """(a, b) of pairs of alike forms, of which every connected group is connected."""
     spark = own.sparkSession
     long = lines.where(F.col("size") >= fewest_letters(similarity))
-    counted = long.groupBy(F.floor(F.log("size") / BAND).cast("long").alias("band")).agg(F.approx_count_distinct("h").alias("n"))
-    # One row for each 30 % of length, of which there are 72 at most.
-    number = {r["band"]: r["n"] for r in counted.collect()}
-    near = {b + i for b in number for i in (-1, 0, 1)}
-    plans = {b: block_plan(number.get(b, 0) + number.get(b - 1, 0) / 4) for b in near}
-    entries = sum(n * plans[b][1] * 1.25 for b, n in number.items())
+    entries = long.agg(F.approx_count_distinct("h")).first()[0] * BLOCKS * 1.25
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries * 24 / _BUCKET_BYTES))
     forms = long.groupBy("h").agg(F.min("size").alias("size"), *(F.min(s).alias(s) for s in _SIGS))
-    blocked = forms.mapInArrow(_blocked(similarity, plans, parts), "part int, blob binary")
+    blocked = forms.mapInArrow(_blocked(similarity, parts), "part int, blob binary")
     found = durable(blocked.repartitionById(parts, "part").mapInArrow(_candidates(family), "a long, b long, family boolean"))
-    del blocked, forms
+    del blocked
     release(spark)
     texts = forms_of(own, lines, found.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     pairs = found.where(~F.col("family")).select("a", "b").distinct()
     x, y = texts.select(F.col("h").alias("a"), F.col("form").alias("x")), texts.select(F.col("h").alias("b"), F.col("form").alias("y"))
     edges = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_pairs(similarity), "a long, b long")
     families = found.where("family").select("a", "b")
-    return edges if families.isEmpty() else edges.union(family_edges(families, texts, similarity, chunk))
+    return edges if families.isEmpty() else edges.union(family_edges(families, forms, texts, similarity, chunk))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, family: int = FAMILY, chunk: int = CHUNK) -> DataFrame:

@@ -287,6 +287,53 @@ def test_blocks_of_many_forms(length, share):
     assert len(pairs) > 150 and met.mean() >= (0.9 if length > 20 else 0.75), met.mean()
 
 
+def _candidate_pairs(sig, parts, family=linedups.FAMILY):
+    """The candidates, as pairs of row numbers, that the tasks of so many parts find among SimHashes of one length."""
+    n = len(sig)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, 100, np.int32)), *map(pa.array, linedups.columns(sig))], ["h", "size", *linedups._SIGS])
+    blocked = pa.Table.from_batches(linedups._blocked(linedups.SIMILARITY, parts)(iter([batch])))
+    tasks = [blocked.filter(pa.compute.equal(blocked.column("part"), p)).to_batches() for p in range(parts)]
+    return {(r["b"], r["a"]) for t in tasks for found in linedups._candidates(family)(iter(t)) for r in found.to_pylist()}
+
+
+def _turned(rng, sig, share):
+    """The SimHashes with each bit turned by the chance ``share``."""
+    bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
+    return np.packbits(bits ^ (rng.random(bits.shape) < share), axis=1).view(np.uint32)
+
+
+def test_candidates_whatever_the_other_forms():
+    rng = np.random.default_rng(6)
+    own = rng.integers(0, 1 << 32, (400, 9), dtype=np.uint32)
+    own = np.concatenate([own, _turned(rng, own, 0.1)])
+    alone = _candidate_pairs(own, 1)
+    assert sum((i, i + 400) in alone for i in range(400)) > 340
+    many = _candidate_pairs(np.concatenate([own, rng.integers(0, 1 << 32, (40_000, 9), dtype=np.uint32)]), 3)
+    assert {(i, j) for i, j in many if j < 800} == alone
+    assert linedups.block_plan(1 << 8) == linedups.block_plan(1 << 26)
+
+
+def test_candidates_by_their_definition():
+    rng = np.random.default_rng(7)
+    centres = rng.integers(0, 1 << 32, (6, 9), dtype=np.uint32)
+    sig = _turned(rng, np.repeat(centres, 50, axis=0), 0.06)
+    wide = np.stack(linedups.columns(sig)[:-1], axis=1).view(np.uint64)
+    sketches = linedups.Sketches(wide, linedups.columns(sig)[-1].view(np.uint32), np.full(len(sig), 100), linedups.SIMILARITY)
+    want = {(i, int(j)) for i in range(len(sig)) for j in np.flatnonzero(sketches.candidates(i, np.arange(len(sig)))) if i < j}
+    assert len(want) > 1000 and _candidate_pairs(sig, 2) == want and _candidate_pairs(sig, 1) == want
+
+
+def test_groups_of_families_and_of_pairs(spark):
+    rng = random.Random(19)
+    lines = []
+    for _ in range(6):
+        base = sentence(rng, 12)
+        lines += [_changed(rng, base, 0.06) for _ in range(40)]
+    docs = frame(spark, ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)])
+    pairs, families = (sorted(map(tuple, linedups.repeated_lines(docs, family=n, chunk=16).collect())) for n in (linedups.FAMILY, 4))
+    assert len(pairs) > 60 and pairs == families
+
+
 def test_line_numbers_and_rebuilt_texts(spark):
     docs = ["Alpha beta gamma delta.\n\nOnly here one\n", "alpha  BETA gamma, delta\nsomething else entirely", "ALPHA beta gamma delta\nalpha beta gamma delta!"]
     left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in linedups.without_repeats(frame(spark, docs)).collect()}
