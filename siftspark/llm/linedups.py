@@ -57,6 +57,8 @@ _PAIRS = 1 << 22
 _CELLS = 1 << 20
 #: Pairs with room for so many edits are first compared by their runs of characters.
 _LONG, _RUN = 40, 6
+#: All pairs are first compared by counts of runs of so many characters, hashed to so many kinds.
+_GRAM, _GRAMS = 4, 1024
 
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[97:123] = np.arange(26)
@@ -193,17 +195,30 @@ def _entries(batch: pa.RecordBatch, similarity: float) -> np.ndarray:
     return np.concatenate(out)
 
 
+def pack(entries: np.ndarray) -> bytes:
+    """Entries (key, h, check bits), sorted by key, with each key once and the number of its entries."""
+    keys, begin = np.unique(entries[:, 0], return_index=True)
+    counts = np.diff(np.append(begin, len(entries))).astype(np.uint32)
+    return b"".join([np.uint32(len(keys)).tobytes(), keys.tobytes(), counts.tobytes(), entries[:, 1:].tobytes()])
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    """The entries of ``pack``."""
+    words = np.frombuffer(blob, dtype=np.uint32)
+    n = int(words[0])
+    return np.column_stack([np.repeat(words[1 : 1 + n], words[1 + n : 1 + 2 * n]), words[1 + 2 * n :].reshape(-1, 5)])
+
+
 def _blocked(similarity: float, parts: int):
     """Entries packed by the part that their key falls to, so that the shuffle moves few large rows."""
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
         entries = np.concatenate(held)
         part = entries[:, 0] % np.uint32(parts)
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part.astype(np.uint64) << np.uint64(32) | entries[:, 1])
         kinds, begin = np.unique(part[order], return_index=True)
-        ends = pa.array(np.append(begin, len(order)).astype(np.int32) * 24)
-        blobs = pa.Array.from_buffers(pa.binary(), len(kinds), [None, ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(entries[order, 1:]))])
-        return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), blobs], ["part", "blob"])
+        blobs = [pack(entries[own, 1:]) for own in np.split(order, begin[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -275,7 +290,7 @@ def _candidates(family: int):
         blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
         if not blobs:
             return
-        entries = np.frombuffer(b"".join(blobs), dtype=np.uint32).reshape(-1, 6)
+        entries = np.concatenate([unpack(b) for b in blobs])
         del blobs
         kinds, form = np.unique(np.ascontiguousarray(entries[:, 1:3]).view(np.uint64)[:, 0], return_inverse=True)
         _, bucket = np.unique(entries[:, 0], return_inverse=True)
@@ -361,20 +376,37 @@ class Texts:
             return out
         p, q, most = p[at], q[at], most[at]
         got = np.ones(len(at), dtype=np.int64)
-        for bit in range(int(most.max()).bit_length() - 1, -1, -1):
-            more = got + (1 << bit)
-            ok = np.flatnonzero(more <= most)
-            x, y, x2, y2 = p[ok] + got[ok], q[ok] + got[ok], p[ok] + more[ok], q[ok] + more[ok]
-            same = (self.sums[x2] - self.sums[x]) * self.powers[y] == (self.sums[y2] - self.sums[y]) * self.powers[x]
-            got[ok[same]] = more[ok[same]]
+
+        def grow(some: np.ndarray, bit: int) -> np.ndarray:
+            """Lengthens some runs by 2 ** bit where they stay equal, and says which."""
+            some = some[got[some] + (1 << bit) <= most[some]]
+            x, y, more = p[some] + got[some], q[some] + got[some], 1 << bit
+            same = some[(self.sums[x + more] - self.sums[x]) * self.powers[y] == (self.sums[y + more] - self.sums[y]) * self.powers[x]]
+            got[same] += more
+            return same
+
+        # Most runs are short, and only those of 9 or more need the steps above 4.
+        long = grow(np.arange(len(at)), 3)
+        for bit in range(int(most.max()).bit_length() - 1, 2, -1):
+            grow(long, bit)
+        for bit in (2, 1, 0):
+            grow(np.arange(len(at)), bit)
         out[at] = got
         return out
 
+    def grams(self, rows: np.ndarray) -> np.ndarray:
+        """How many runs of ``_GRAM`` characters of each of ``_GRAMS`` kinds each row has."""
+        sizes = np.maximum(0, self.sizes[rows] - _GRAM + 1)
+        row = np.repeat(np.arange(len(rows)), sizes)
+        at = np.repeat(self.first[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(row))
+        kind = V.mix((self.sums[at + _GRAM] - self.sums[at]) * self.powers[len(self.chars) - at]) % np.uint64(_GRAMS)
+        return np.bincount(row * _GRAMS + kind.astype(np.int64), minlength=len(rows) * _GRAMS).reshape(-1, _GRAMS).astype(np.int32)
+
     def alike(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
         """Which of the pairs of rows reach the edit similarity.
 
-        An edit changes lengths by one at most and the letters' counts by two; pairs that are left are decided by
-        the furthest places that so many edits reach on each diagonal, edit after edit, all pairs at once.
+        An edit changes lengths by one at most, the letters' counts by two and those of runs of ``_GRAM`` characters
+        by twice as many as ``_GRAM``; pairs that are left are decided by the furthest places that so many edits reach on each diagonal, edit after edit, all pairs at once.
         """
         most = most_edits(np.maximum(self.sizes[a], self.sizes[b]), similarity)
         out = np.zeros(len(a), dtype=bool)
@@ -382,6 +414,9 @@ class Texts:
         for low in range(0, len(able), 1024):
             own = able[low : low + 1024]
             own = own[np.abs(self.letters[a[own]] - self.letters[b[own]]).sum(axis=1) <= 2 * most[own]]
+            rows, place = np.unique(np.concatenate([a[own], b[own]]), return_inverse=True)
+            counts = self.grams(rows)
+            own = own[np.abs(counts[place[: len(own)]] - counts[place[len(own) :]]).sum(axis=1) <= 2 * _GRAM * most[own]]
             own = own[np.argsort(most[own], kind="stable")]
             long = int(np.searchsorted(most[own], _LONG))
             own = np.concatenate([own[:long], [i for i in own[long:].tolist() if self._runs_agree(a[i], b[i], most[i])]]).astype(np.int64)

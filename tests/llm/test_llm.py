@@ -208,6 +208,27 @@ def test_edit_distance():
         assert texts.alike(np.arange(n), np.arange(n, 2 * n), similarity).tolist() == want
 
 
+def test_unlike_pairs_are_told_by_their_runs(monkeypatch):
+    # Variants of one line, each within the similarity of the line but not of each other, are told apart without the diagonals.
+    rng = random.Random(4)
+    base = sentence(rng, 60)
+    variants = ["".join(rng.choice("qrstuv") if i in at else c for i, c in enumerate(base)) for _ in range(60) for at in [set(rng.sample(range(len(base)), int(len(base) * 0.048)))]]
+    i, j = np.array(list(itertools.combinations(range(len(variants)), 2))).T
+    want = [_myers(variants[x], variants[y]) <= linedups.most_edits(max(len(variants[x]), len(variants[y])), linedups.SIMILARITY) for x, y in zip(i, j, strict=True)]
+    decided = []
+    reached = linedups.Texts._reached
+    monkeypatch.setattr(linedups.Texts, "_reached", lambda self, a, b, most: decided.append(len(a)) or reached(self, a, b, most))
+    assert linedups.Texts(pa.array(variants)).alike(i, j, linedups.SIMILARITY).tolist() == want
+    assert sum(decided) < 0.2 * len(i) and not all(want)
+
+
+def test_entries_packed_and_unpacked():
+    rng = np.random.default_rng(3)
+    entries = rng.integers(0, 1 << 32, (5000, 6), dtype=np.uint32)
+    entries[:, 0] = np.sort(rng.integers(0, 900, 5000, dtype=np.uint32))
+    assert (linedups.unpack(linedups.pack(entries)) == entries).all() and len(linedups.pack(entries)) < 22 * 5000
+
+
 def _changed(rng, line, share):
     """The line with one letter in every 1 / share replaced at most, one at least."""
     other = list(line)
