@@ -58,7 +58,8 @@ _CELLS = 1 << 20
 #: Pairs with room for so many edits are first compared by their runs of characters.
 _LONG, _RUN = 40, 6
 #: All pairs are first compared by counts of runs of so many characters, hashed to so many kinds.
-_GRAM, _GRAMS = 4, 1024
+_GRAM, _GRAMS = 4, 512
+_ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[97:123] = np.arange(26)
@@ -353,6 +354,16 @@ def normal(line: str) -> str:
     return _DIGITS.sub("0", " ".join(_WORD.findall(line)))
 
 
+_MIXED = V.mix(np.arange(1, 1 + (1 << 13), dtype=np.uint64))
+
+
+def _mixed(chars: np.ndarray) -> np.ndarray:
+    """A hash of each character; those of most scripts are looked up."""
+    if not len(chars) or int(chars.max()) < len(_MIXED):
+        return _MIXED[chars]
+    return V.mix(chars.astype(np.uint64) + np.uint64(1))
+
+
 class Texts:
     """Characters of many texts in one array, with sums that tell in one step whether two runs are equal."""
 
@@ -363,7 +374,8 @@ class Texts:
         self.chars = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         self.powers = V._power_table(len(self.chars) + 1)[0]
         self.sums = np.zeros(len(self.chars) + 1, dtype=np.uint64)
-        np.cumsum(V.mix(self.chars.astype(np.uint64) + np.uint64(1)) * self.powers[: len(self.chars)], out=self.sums[1:])
+        np.cumsum(_mixed(self.chars) * self.powers[: len(self.chars)], out=self.sums[1:])
+        self.kinds: np.ndarray | None = None
         #: How many characters of each of 64 kinds each text has.
         self.letters = np.bincount(np.repeat(np.arange(len(texts)), self.sizes) * 64 + (self.chars & 63), minlength=len(texts) * 64).reshape(-1, 64).astype(np.int32)
 
@@ -399,8 +411,12 @@ class Texts:
         sizes = np.maximum(0, self.sizes[rows] - _GRAM + 1)
         row = np.repeat(np.arange(len(rows)), sizes)
         at = np.repeat(self.first[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(row))
-        kind = V.mix((self.sums[at + _GRAM] - self.sums[at]) * self.powers[len(self.chars) - at]) % np.uint64(_GRAMS)
-        return np.bincount(row * _GRAMS + kind.astype(np.int64), minlength=len(rows) * _GRAMS).reshape(-1, _GRAMS).astype(np.int32)
+        if self.kinds is None:
+            value = self.chars[: max(0, len(self.chars) - _GRAM + 1)] * _ODD[0]
+            for i in range(1, _GRAM):
+                value += self.chars[i : i + len(value)] * _ODD[i]
+            self.kinds = ((value ^ (value >> np.uint32(15))) * _ODD[0] >> np.uint32(20)) % np.uint32(_GRAMS)
+        return np.bincount(row * _GRAMS + self.kinds[at], minlength=len(rows) * _GRAMS).reshape(-1, _GRAMS).astype(np.int32)
 
     def alike(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
         """Which of the pairs of rows reach the edit similarity.
