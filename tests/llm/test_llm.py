@@ -308,6 +308,23 @@ def test_blocks_of_many_forms(length, share):
     assert len(pairs) > 150 and met.mean() >= (0.9 if length > 20 else 0.75), met.mean()
 
 
+@pytest.mark.parametrize("length", [20, 30, 60, 120, 400, 800])
+@pytest.mark.parametrize("share", [0.01, 0.03, 0.045])
+def test_candidates_of_changed_lines(length, share):
+    # With the bytes of the check bits, which test_blocks_of_many_forms leaves out.
+    rng = random.Random(length + 1)
+    bases = [sentence(rng, length // 5 + 1)[:length].rstrip() + "a" for _ in range(400)]
+    others = ["".join(rng.choice("qrstuv") if i in at else c for i, c in enumerate(x)) for x in bases for at in [set(rng.sample(range(len(x)), max(1, int(len(x) * share))))]]
+    pairs = [(x, y) for x, y in zip(bases, map(linedups.normal, others), strict=True) if _myers(x, y) <= linedups.most_edits(max(len(x), len(y)), linedups.SIMILARITY)]
+    raw = np.frombuffer("\n".join(z for p in pairs for z in p).encode(), dtype=np.uint8)
+    found, begins, _, _ = linedups.line_words(raw, np.array([0, len(raw)]))
+    letters = np.flatnonzero(found.inside)
+    first = np.searchsorted(letters, np.append(begins, len(raw)))
+    met = _candidate_pairs(linedups.simhashes(linedups._CLASS[raw[letters]], first, np.arange(2 * len(pairs))), 1)
+    recall = sum((2 * i, 2 * i + 1) in met for i in range(len(pairs))) / len(pairs)
+    assert recall >= (0.9 if length > 20 else 0.75), recall
+
+
 def _candidate_pairs(sig, parts, family=linedups.FAMILY):
     """The candidates, as pairs of row numbers, that the tasks of so many parts find among SimHashes of one length."""
     n = len(sig)
