@@ -42,8 +42,8 @@ WIDTH, BLOCKS = 10, 12
 TURNS = 3
 TURN_BYTES = CHECKED // 8 // TURNS
 BAND = 0.3
-#: Of groups of more forms that have more near pairs than so many forms can have, families are compared in chunks.
-FAMILY = 1024
+#: Forms with more near ones than so many in a group of which that holds on average are compared as families, in chunks; other near pairs are listed.
+FAMILY = 32
 CHUNK = 1024
 #: Bits of the bitmap of documents whose texts are wanted: 8 MB, whatever the input's size.
 MARKS = 1 << 26
@@ -57,8 +57,10 @@ _PAIRS = 1 << 22
 _CELLS = 1 << 20
 #: Pairs with room for so many edits are first compared by their runs of characters.
 _LONG, _RUN = 40, 6
-#: All pairs are first compared by counts of runs of so many characters, hashed to so many kinds.
-_GRAM, _GRAMS = 4, 512
+#: All pairs are first compared by whether runs of so many characters, hashed to so many kinds, are odd in number.
+_GRAM, _GRAMS = 4, 2048
+#: So many forms of a family at most are compared at once with those that are not reached yet.
+_FRONTIER = 64
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -256,8 +258,26 @@ def _dense(check: np.ndarray, rest: np.ndarray, most: int) -> tuple[np.ndarray,
     return np.concatenate(a), np.concatenate(b)
 
 
+def _crowded(check: np.ndarray, rest: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one group, the near pairs of forms that have up to ``family`` near ones, and the places of the forms that have more."""
+    a, b, many = [], [], []
+    for low in range(0, len(check), _ROWS):
+        near = np.bitwise_count(check[low : low + _ROWS, None] ^ check) + np.bitwise_count(rest[low : low + _ROWS, None] ^ rest) <= CHECK_BITS
+        few = near.sum(axis=1) <= family + 1
+        i, j = np.nonzero(near[few])
+        a.append(low + np.flatnonzero(few)[i])
+        b.append(j)
+        many.append(low + np.flatnonzero(~few))
+    i, j = np.concatenate(a), np.concatenate(b)
+    return i[i != j], j[i != j], np.concatenate(many)
+
+
 def _near_pairs(group: np.ndarray, check: np.ndarray, rest: np.ndarray, family: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """The near pairs of places of each group, in which ``group`` is equal and sorted; of a family a spanning forest, marked as such."""
+    """The near pairs of places of each group, in which ``group`` is equal and sorted.
+
+    In groups with more than ``family`` near forms a form on average, forms that have more get a spanning forest, marked as such,
+    so that a group gives in proportion to its forms.
+    """
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.append(begin, len(group)))
     small = min(_SMALL, family)
@@ -271,12 +291,14 @@ def _near_pairs(group: np.ndarray, check: np.ndarray, rest: np.ndarray, family:
     large = np.flatnonzero(sizes > small)
     for low, size in zip(begin[large].tolist(), sizes[large].tolist(), strict=True):
         c, r = check[low : low + size], rest[low : low + size]
-        pairs = _dense(c, r, family * family // 2)
+        pairs = _dense(c, r, size * family // 2)
         if pairs is not None:
             yield low + pairs[0], low + pairs[1], False
         else:
-            forest = np.array(list(spanning_edges(np.stack([c, r.astype(np.uint64)], axis=1), _near)), dtype=np.int64).reshape(-1, 2) + low
-            yield forest[:, 0], forest[:, 1], True
+            a, b, many = _crowded(c, r, family)
+            yield low + a, low + b, False
+            forest = np.array(list(spanning_edges(np.stack([c[many], r[many].astype(np.uint64)], axis=1), _near)), dtype=np.int64).reshape(-1, 2)
+            yield low + many[forest[:, 0]], low + many[forest[:, 1]], True
 
 
 def turns(key: np.ndarray) -> np.ndarray:
@@ -328,19 +350,21 @@ class Sketches:
             for nth in range(2):
                 own = band[:, nth] == b
                 self.keys[own, nth] = block_keys(sig[own], b, *block_plan())
-        self.keys = self.keys.reshape(len(sig), -1)
         self.turns = turns(self.keys).astype(np.int64)
         self.check = np.column_stack([np.ascontiguousarray(sig[:, WORDS : WORDS + 1]).view(np.uint32), last])
         self.octets = self.check.view(np.uint8)
 
-    def candidates(self, at: int, others: np.ndarray) -> np.ndarray:
-        """Which of the other forms are candidates with the one at ``at``, as ``_candidates`` would find them."""
+    def candidates(self, at: int | np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Which of the other forms are candidates with the one at ``at``, or each with its own, as ``_candidates`` would find them."""
         out = _near(self.check[at], self.check[others])
         some = np.flatnonzero(out)
-        octet = (self.octets[others[some]] == self.octets[at]).reshape(-1, TURNS, TURN_BYTES).any(axis=2)
+        x, y = np.broadcast_to(at, len(others))[some], others[some]
+        octet = (self.octets[x] == self.octets[y]).reshape(-1, TURNS, TURN_BYTES).any(axis=2)
         met = np.zeros(len(some), dtype=bool)
-        for key, turn in zip(self.keys[at], self.turns[at], strict=True):
-            met |= octet[:, turn] & (self.keys[others[some]] == key).any(axis=1)
+        for own in range(2):
+            turn = np.take_along_axis(octet, self.turns[x, own], axis=1)
+            for other in range(2):
+                met |= (turn & (self.keys[x, own] == self.keys[y, other])).any(axis=1)
         out[some] = met
         return out
 
@@ -375,9 +399,9 @@ class Texts:
         self.powers = V._power_table(len(self.chars) + 1)[0]
         self.sums = np.zeros(len(self.chars) + 1, dtype=np.uint64)
         np.cumsum(_mixed(self.chars) * self.powers[: len(self.chars)], out=self.sums[1:])
-        self.kinds: np.ndarray | None = None
         #: How many characters of each of 64 kinds each text has.
         self.letters = np.bincount(np.repeat(np.arange(len(texts)), self.sizes) * 64 + (self.chars & 63), minlength=len(texts) * 64).reshape(-1, 64).astype(np.int32)
+        self.odd = self._odd()
 
     def common(self, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
         """The length of the common run from the places p and q, ``most`` at most."""
@@ -406,22 +430,31 @@ class Texts:
         out[at] = got
         return out
 
-    def grams(self, rows: np.ndarray) -> np.ndarray:
-        """How many runs of ``_GRAM`` characters of each of ``_GRAMS`` kinds each row has."""
-        sizes = np.maximum(0, self.sizes[rows] - _GRAM + 1)
-        row = np.repeat(np.arange(len(rows)), sizes)
-        at = np.repeat(self.first[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(row))
-        if self.kinds is None:
-            value = self.chars[: max(0, len(self.chars) - _GRAM + 1)] * _ODD[0]
-            for i in range(1, _GRAM):
-                value += self.chars[i : i + len(value)] * _ODD[i]
-            self.kinds = ((value ^ (value >> np.uint32(15))) * _ODD[0] >> np.uint32(20)) % np.uint32(_GRAMS)
-        return np.bincount(row * _GRAMS + self.kinds[at], minlength=len(rows) * _GRAMS).reshape(-1, _GRAMS).astype(np.int32)
+    def _odd(self) -> np.ndarray:
+        """For each text a bit for each of ``_GRAMS`` kinds of runs of ``_GRAM`` characters: whether it has an odd number of them."""
+        value = self.chars[: max(0, len(self.chars) - _GRAM + 1)] * _ODD[0]
+        for i in range(1, _GRAM):
+            value += self.chars[i : i + len(value)] * _ODD[i]
+        kinds = ((value ^ (value >> np.uint32(15))) * _ODD[0] >> np.uint32(20)) % np.uint32(_GRAMS)
+        sizes = np.maximum(0, self.sizes - _GRAM + 1)
+        out, step = np.empty((len(sizes), _GRAMS // 8), dtype=np.uint8), _CELLS // _GRAMS
+        for low in range(0, len(sizes), step):
+            own = sizes[low : low + step]
+            row = np.repeat(np.arange(len(own)), own)
+            at = np.repeat(self.first[low : low + step] - np.cumsum(own) + own, own) + np.arange(len(row))
+            counts = np.bincount(row * _GRAMS + kinds[at], minlength=len(own) * _GRAMS)
+            out[low : low + step] = np.packbits((counts & 1).astype(np.uint8).reshape(-1, _GRAMS), axis=1)
+        return out.view(np.uint64)
+
+    def able(self, at: int, others: np.ndarray, odd: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of the other rows, whose bits of ``_odd`` are given, may be alike to the one at ``at`` by their sizes and runs."""
+        most = most_edits(np.maximum(self.sizes[at], self.sizes[others]), similarity)
+        return (np.abs(self.sizes[at] - self.sizes[others]) <= most) & (np.bitwise_count(self.odd[at] ^ odd).sum(axis=1, dtype=np.int32) <= 2 * _GRAM * most)
 
     def alike(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
         """Which of the pairs of rows reach the edit similarity.
 
-        An edit changes lengths by one at most, the letters' counts by two and those of runs of ``_GRAM`` characters
+        An edit changes lengths by one at most, the letters' counts by two and the bits of ``_odd``
         by twice as many as ``_GRAM``; pairs that are left are decided by the furthest places that so many edits reach on each diagonal, edit after edit, all pairs at once.
         """
         most = most_edits(np.maximum(self.sizes[a], self.sizes[b]), similarity)
@@ -430,9 +463,7 @@ class Texts:
         for low in range(0, len(able), 1024):
             own = able[low : low + 1024]
             own = own[np.abs(self.letters[a[own]] - self.letters[b[own]]).sum(axis=1) <= 2 * most[own]]
-            rows, place = np.unique(np.concatenate([a[own], b[own]]), return_inverse=True)
-            counts = self.grams(rows)
-            own = own[np.abs(counts[place[: len(own)]] - counts[place[len(own) :]]).sum(axis=1) <= 2 * _GRAM * most[own]]
+            own = own[np.bitwise_count(self.odd[a[own]] ^ self.odd[b[own]]).sum(axis=1, dtype=np.int64) <= 2 * _GRAM * most[own]]
             own = own[np.argsort(most[own], kind="stable")]
             long = int(np.searchsorted(most[own], _LONG))
             own = np.concatenate([own[:long], [i for i in own[long:].tolist() if self._runs_agree(a[i], b[i], most[i])]]).astype(np.int64)
@@ -488,19 +519,26 @@ class Texts:
 
 
 def line_groups(forms: pa.Array, sketches: Sketches, similarity: float) -> Iterator[tuple[int, int]]:
-    """Edges that join all forms connected by alike candidates: a form that is reached is compared with all that are not."""
+    """Edges that join all forms connected by alike candidates: forms that are reached are compared with all that are not.
+
+    While those that are reached reach few others, more of them are compared at once.
+    """
     texts = Texts(forms)
-    left = np.arange(len(forms))
+    left, odd = np.arange(len(forms)), texts.odd
     while len(left) > 1:
-        frontier, left = [int(left[0])], left[1:]
+        frontier, left, odd, n = [int(left[0])], left[1:], odd[1:], 1
         while frontier and len(left):
-            at = frontier.pop()
-            hit = sketches.candidates(at, left)
-            hit[hit] = texts.alike(np.full(int(hit.sum()), at), left[hit], similarity)
-            for i in left[hit].tolist():
-                yield at, i
+            some, frontier = frontier[-n:], frontier[:-n]
+            able = [np.flatnonzero(texts.able(at, left, odd, similarity)) for at in some]
+            a, b = np.repeat(some, [len(x) for x in able]), np.concatenate(able)
+            met = sketches.candidates(a, left[b])
+            met[met] = texts.alike(a[met], left[b[met]], similarity)
+            hit, first = np.unique(b[met], return_index=True)
+            yield from zip(a[met][first].tolist(), left[hit].tolist(), strict=True)
             frontier.extend(left[hit].tolist())
-            left = left[~hit]
+            n = 1 if len(hit) > len(left) // 8 else min(2 * n, _FRONTIER)
+            if len(hit):
+                left, odd = np.delete(left, hit), np.delete(odd, hit, axis=0)
 
 
 def _pairs(similarity: float):
@@ -614,18 +652,17 @@ def forms_of(own: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts
 
 
-def family_edges(families: DataFrame, forms: DataFrame, texts: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
-    """Alike candidates that join the forms of families with too many near pairs to be listed.
+def family_edges(member: DataFrame, forms: DataFrame, texts: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Alike candidates that join the forms of families, given as (node, root), with too many near pairs to be listed.
 
     A family is dealt into chunks of about ``chunk`` forms by hash, and each two chunks meet in one group, so
     that no task holds more than two chunks at a time however large the family is.
     """
-    member = components(families)
     sizes = member.groupBy("root").agg(F.ceil(F.count("*") / chunk).cast("long").alias("chunks"))
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
     dealt = member.join(sizes, "root").select("root", F.col("node").alias("h"), own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     group = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
-    parts = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(member.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketched = texts.join(forms.join(member.select(F.col("node").alias("h")), "h", "left_semi"), "h")
     met = dealt.select(group.alias("group"), "h").join(sketched, "h").repartition(parts, "group").sortWithinPartitions("group")
     return met.mapInArrow(_families(similarity), "a long, b long")
@@ -645,9 +682,14 @@ def alike_forms(own: DataFrame, lines: DataFrame, similarity: float, family: int
     texts = forms_of(own, lines, found.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     pairs = found.where(~F.col("family")).select("a", "b").distinct()
     x, y = texts.select(F.col("h").alias("a"), F.col("form").alias("x")), texts.select(F.col("h").alias("b"), F.col("form").alias("y"))
+    families, member = found.where("family").select("a", "b"), None
+    if not families.isEmpty():
+        # Pairs within a family are compared there.
+        member = components(families)
+        roots = [member.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+        pairs = pairs.join(roots[0], "a", "left").join(roots[1], "b", "left").where(~F.col("root_a").eqNullSafe(F.col("root_b")) | F.col("root_a").isNull())
     edges = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_pairs(similarity), "a long, b long")
-    families = found.where("family").select("a", "b")
-    return edges if families.isEmpty() else edges.union(family_edges(families, forms, texts, similarity, chunk))
+    return edges if member is None else edges.union(family_edges(member, forms, texts, similarity, chunk))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, family: int = FAMILY, chunk: int = CHUNK) -> DataFrame:

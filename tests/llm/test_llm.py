@@ -361,6 +361,32 @@ def test_candidates_by_their_definition():
     assert len(want) > 1000 and _candidate_pairs(sig, 2) == want and _candidate_pairs(sig, 1) == want
 
 
+def test_families_are_not_listed_pair_by_pair():
+    # All 1,279,200 pairs of a family of 1,600 forms are near; few of them are listed, and still join all of its forms.
+    rng = np.random.default_rng(8)
+    sig = _turned(rng, np.repeat(rng.integers(0, 1 << 32, (1, 9), dtype=np.uint32), 1600, axis=0), 0.03)
+    listed = np.array(sorted(_candidate_pairs(sig, 2)))
+    nodes, roots = graph.label(listed[:, 0], listed[:, 1])
+    assert len(nodes) == len(sig) and not roots.any() and len(listed) < 120 * len(sig)
+
+
+def test_groups_of_a_family_against_brute_force():
+    rng = random.Random(21)
+    bases = [sentence(rng, 25)]
+    bases += ["".join(rng.choice("qrstuv") if rng.random() < 0.05 else c for c in bases[0]) for _ in range(40)]
+    forms = sorted({linedups.normal(_changed(rng, rng.choice(bases), 0.03).lower()) for _ in range(300)})
+    raw = np.frombuffer("\n".join(forms).encode(), dtype=np.uint8)
+    found, begins, _, _ = linedups.line_words(raw, np.array([0, len(raw)]))
+    letters = np.flatnonzero(found.inside)
+    wide = linedups.columns(linedups.simhashes(linedups._CLASS[raw[letters]], np.searchsorted(letters, np.append(begins, len(raw))), np.arange(len(forms))))
+    sketches = linedups.Sketches(np.stack(wide[:-1], axis=1).view(np.uint64), wide[-1].view(np.uint32), np.array(list(map(len, forms))), linedups.SIMILARITY)
+    alike = lambda i, j: _myers(forms[i], forms[j]) <= linedups.most_edits(max(len(forms[i]), len(forms[j])), linedups.SIMILARITY)
+    want = np.array([(i, j) for i in range(len(forms)) for j in np.flatnonzero(sketches.candidates(i, np.arange(len(forms)))).tolist() if i < j and alike(i, j)])
+    edges = np.array(list(linedups.line_groups(pa.array(forms), sketches, linedups.SIMILARITY)))
+    assert all(alike(i, j) for i, j in edges.tolist()) and len(edges) < len(forms) <= len(want)
+    assert [x.tolist() for x in graph.label(*edges.T)] == [x.tolist() for x in graph.label(*want.T)] and len(set(graph.label(*want.T)[1].tolist())) > 1
+
+
 def test_groups_of_families_and_of_pairs(spark):
     rng = random.Random(19)
     lines = []
