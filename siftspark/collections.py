@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions.durable import checkpoint_root
 from siftspark.operators.index import Index, build
+from siftspark.plans.request import SearchRequest
 from siftspark.plans.schema import CollectionSchema, FieldSchema
 
 DOCS = CollectionSchema(
@@ -69,6 +70,13 @@ def index(spark: SparkSession, sf_dir: str, name: str) -> Index:
     return _index(spark, spark.sparkContext.applicationId, sf_dir, name)
 
 
+def opened(spark: SparkSession, sf_dir: str, name: str, request: SearchRequest) -> Index:
+    """What a request reads: the index, or where it has no words the documents alone, for which nothing is built."""
+    if request.query.tokens:
+        return index(spark, sf_dir, name)
+    return Index(TABLES[name][0], documents(spark, sf_dir, name), None, None, None)
+
+
 @functools.cache
 def _index(spark: SparkSession, application: str, sf_dir: str, name: str) -> Index:
     schema, read = TABLES[name]

@@ -23,13 +23,13 @@ TABLES = ("docs", "postings", "stats", "terms")
 @dataclass(frozen=True)
 class Index:
     """``docs`` (doc_id, typed columns), ``postings`` (field, term, doc_id, tf, len, positions),
-    ``stats`` (field, docs, tokens), ``terms`` (field, term, df, chars)."""
+    ``stats`` (field, docs, tokens), ``terms`` (field, term, df, chars). Without words only ``docs`` is read, and the others may be None."""
 
     schema: CollectionSchema
     docs: DataFrame
-    postings: DataFrame
-    stats: DataFrame
-    terms: DataFrame
+    postings: DataFrame | None
+    stats: DataFrame | None
+    terms: DataFrame | None
 
     def write(self, path: str) -> None:
         """As Parquet: postings in a folder for each field and hash of the term, sorted by term within it.

@@ -28,8 +28,8 @@ def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str) -
 
 def _matched(name: str, collection: str, where: str = "true", **params) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index = C.index(spark, sf_dir, collection)
-        return matched_documents(index, resolve_search(index.schema, **params)).select("doc_id", "text_match")
+        request = resolve_search(C.TABLES[collection][0], **params)
+        return matched_documents(C.opened(spark, sf_dir, collection, request), request).select("doc_id", "text_match")
 
     _add(name, query, O.matched_sql(collection, where, **{k: v for k, v in params.items() if k not in ("filter", "sort")}))
 
@@ -46,8 +46,8 @@ def _browsed(name: str, collection: str, filter: str, where: str) -> None:
 
 def _paged(name: str, collection: str, order: str, where: str = "true", **params) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index = C.index(spark, sf_dir, collection)
-        request = resolve_search(index.schema, **params)
+        request = resolve_search(C.TABLES[collection][0], **params)
+        index = C.opened(spark, sf_dir, collection, request)
         shown = page(matched_documents(index, request), index, request)
         # At most a page of rows is ranked here.
         rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*ordering(request.sort, index.schema))) + F.lit(request.offset)
@@ -58,9 +58,8 @@ def _paged(name: str, collection: str, order: str, where: str = "true", **params
 
 def _faceted(name: str, collection: str, fields: dict[str, str], where: str = "true", **params) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index = C.index(spark, sf_dir, collection)
-        request = resolve_search(index.schema, facet=",".join(fields), **params)
-        return facet_counts(matched_documents(index, request), request.facets)
+        request = resolve_search(C.TABLES[collection][0], facet=",".join(fields), **params)
+        return facet_counts(matched_documents(C.opened(spark, sf_dir, collection, request), request), request.facets)
 
     _add(name, query, O.facets_sql(collection, fields, where, **{k: v for k, v in params.items() if k != "filter"}))
 

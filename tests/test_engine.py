@@ -247,3 +247,13 @@ def test_deleting_and_compacting_equals_rebuilding(spark, tmp_path):
         tuple(r) for r in c.index().postings.join(c.live().select("doc_id", "id"), "doc_id").select("id", "field", "term", "tf", "len", F.array_join("positions", ",")).collect()
     )
     assert rows(one) == rows(two)
+
+
+@pytest.mark.parametrize("name", ["sort_field", "match_all_documents", "facet_keyword"])
+def test_without_words_no_index_is_built(spark, monkeypatch, name):
+    from siftspark import collections as C
+    from siftspark.queries import QUERIES
+
+    monkeypatch.setattr(C, "build", lambda *a: pytest.fail("an index was built"))
+    monkeypatch.setattr(C, "_index", C._index.__wrapped__)
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
