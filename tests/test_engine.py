@@ -249,7 +249,7 @@ def test_deleting_and_compacting_equals_rebuilding(spark, tmp_path):
     assert rows(one) == rows(two)
 
 
-@pytest.mark.parametrize("name", ["sort_field", "match_all_documents", "facet_keyword"])
+@pytest.mark.parametrize("name", ["sort_field", "match_all_documents", "facet_keyword", "sort_date"])
 def test_without_words_no_index_is_built(spark, monkeypatch, name):
     from siftspark import collections as C
     from siftspark.queries import QUERIES
