@@ -70,6 +70,17 @@ def index(spark: SparkSession, sf_dir: str, name: str) -> Index:
     return _index(spark, spark.sparkContext.applicationId, sf_dir, name)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """The documents dealt out evenly where the scan leaves most of them to few tasks, as one file does of few row groups.
+
+    Counting them reads the files' ends only."""
+    counts = [r["count"] for r in docs.groupBy(F.spark_partition_id()).count().collect()]
+    cores, rows = docs.sparkSession.sparkContext.defaultParallelism, sum(counts)
+    if not rows or max(counts) * cores <= 2 * rows:
+        return docs
+    return docs.repartition(min(rows // 500 + 1, max(4 * cores, rows // 100_000)), "doc_id")
+
+
 def opened(spark: SparkSession, sf_dir: str, name: str, request: SearchRequest) -> Index:
     """What a request reads: the index, or where it has no words the documents alone, for which nothing is built."""
     if request.query.tokens:
@@ -81,7 +92,7 @@ def opened(spark: SparkSession, sf_dir: str, name: str, request: SearchRequest)
 def _index(spark: SparkSession, application: str, sf_dir: str, name: str) -> Index:
     schema, read = TABLES[name]
     path = f"{checkpoint_root(spark)}/index-{name}-{uuid.uuid4().hex}"
-    build(read(spark, sf_dir), schema).write(path)
+    build(spread(read(spark, sf_dir)), schema).write(path)
     return Index.read(spark, schema, path)
 
 

@@ -61,7 +61,8 @@ def folded(text: Column) -> Column:
     one = F.translate(text, *_tables())
     syllables, lead, vowel, tail = _hangul()
     split = F.transform(F.split(one, ""), lambda c: F.when(c.between("가", "힣"), F.concat(*(F.translate(c, syllables, to) for to in (lead, vowel, tail)))).otherwise(c))
-    return F.when(one.rlike("[가-힣]"), F.array_join(split, "")).otherwise(one)
+    ascii_only = F.char_length(text) == F.octet_length(text)
+    return F.when(ascii_only, F.lower(text)).when(one.rlike("[가-힣]"), F.array_join(split, "")).otherwise(one)
 
 
 def terms(text: Column) -> Column:

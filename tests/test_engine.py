@@ -257,3 +257,29 @@ def test_without_words_no_index_is_built(spark, monkeypatch, name):
     monkeypatch.setattr(C, "build", lambda *a: pytest.fail("an index was built"))
     monkeypatch.setattr(C, "_index", C._index.__wrapped__)
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_postings_are_packed_by_term_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from siftspark.operators import index
+
+    values = [[["a", "b", "a"], [], None, ["a"]], [], None, [["b"]], [["a"]] * 3]
+    kinds = pa.list_(pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 5), pa.array(range(5), pa.int64()), pa.array(values, kinds)], ["field", "doc_id", "values"])
+    every = {("a", 0, 4, (0, 2, 103)), ("b", 0, 4, (1,)), ("b", 3, 1, (0,)), ("a", 4, 3, (0, 101, 202))}
+    for most, rows in ((100, 2), (1, 4)):
+        monkeypatch.setattr(index, "SLICE", most)
+        made = [r for part in index.grouped_by_term(iter([batch])) for r in part.to_pylist()]
+        assert len(made) == rows and sum(r["begun"] for r in made) == 3 and sum(r["tokens"] for r in made) == 8
+        assert {(r["term"], d, n, tuple(p)) for r in made for d, n, p in zip(r["doc_ids"], r["lens"], r["positions"], strict=True)} == every
+        assert all(r["df"] == len(r["doc_ids"]) for r in made)
+
+
+def test_one_scan_task_is_spread(spark):
+    from siftspark import collections as C
+
+    docs = spark.range(6000).coalesce(1).withColumnRenamed("id", "doc_id")
+    assert C.spread(docs).rdd.getNumPartitions() == 13
+    even = spark.range(0, 6000, 1, 8).withColumnRenamed("id", "doc_id")
+    assert C.spread(even) is even
